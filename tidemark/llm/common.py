@@ -10,6 +10,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Text bytes that one numpy pass handles at once; a single longer text forms a pass of its own.
 SLICE_BYTES = 1 << 21
@@ -43,6 +44,7 @@ def cut(df: DataFrame) -> DataFrame:
     The folder is the one the session names in ``spark.checkpoint.dir``. Only a local session without that
     setting gets a folder below its warehouse.
     """
+    ship(df.sparkSession)
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         where = context.getConf().get("spark.checkpoint.dir") or (
@@ -208,3 +210,20 @@ def reach(found: np.ndarray, width: int, larger: bool) -> np.ndarray:
         out = take(out[:-step], out[step:])
         span += step
     return out
+
+
+def hash_sample(rows: DataFrame, key: str, most: int, seed: str) -> DataFrame:
+    """At most ``most`` rows, those whose key hashes least, alike in every run.
+
+    A threshold taken from the count comes first, so that only about ``most`` rows are ever sorted, however many there are.
+    """
+    n = rows.count()
+    order = F.xxhash64(F.lit(seed), F.col(key))
+    if n > 2 * most:
+        rows = rows.where(order < int(-(2**63) + 2**64 * min(1.0, 1.5 * most / n)))
+    return rows.orderBy(order, key).limit(most)
+
+
+def remainder(key: str, of: int):
+    """crc32 of the key as text, modulo ``of``."""
+    return F.crc32(F.col(key).cast("string").cast("binary")) % of

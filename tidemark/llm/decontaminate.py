@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM_LOWER, cut, text_bytes, word_hashes
+from .common import ALNUM_LOWER, cut, ship, text_bytes, word_hashes
 
 #: Bytes of window text in one automaton. A larger benchmark is dealt over several, each one more pass over the documents.
 AUTOMATON_BYTES = 4 << 20
@@ -148,6 +148,7 @@ def decontaminate(
     many automata as its windows need, one pass over a checkpoint each.
     """
     spark = docs.sparkSession
+    ship(spark)
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), "text")
     needed = items.agg(F.sum(F.length("text").cast("long") * window)).first()[0] or 0
     shards = max(1, -(-needed // automaton_bytes))

@@ -7,11 +7,11 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, mixing, token_counts, url_filter
+from . import chat_format, decontaminate, language_id, line_dedup, mixing, token_counts, toxicity, url_filter
 from .common import table
 
-#: Path of the tokenizer file on every executor.
-BYTE_BPE = os.environ.get("BYTE_BPE_JSON", "")
+#: Paths of the tokenizer files on every executor; by default those of the installed package.
+BYTE_BPE, PIECE_BPE = os.environ.get("BYTE_BPE_JSON", ""), os.environ.get("PIECE_BPE_MODEL", "")
 
 
 def _vocabulary(name: str) -> str:
@@ -20,6 +20,11 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cleaned.select("doc_id", "text", F.col("__n_words").alias("n_words"), F.col("__n_removed").alias("n_removed"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), BYTE_BPE or _vocabulary("byte_bpe_50k.json"))
 
@@ -38,6 +43,17 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.chat_digest(chat_format.format_chat(turns))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.train(docs, language_id.vocabulary(PIECE_BPE or _vocabulary("piece_bpe_32k.model")))
+    return language_id.identify(docs, model)
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score_toxicity(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return hits.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
@@ -50,7 +66,17 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    f.__name__: f for f in (op4_token_counts, op5_mix_sources, op6_chat_format, op9_decontaminate, op10_url_filter)
+    f.__name__: f
+    for f in (
+        op1_line_dedup,
+        op4_token_counts,
+        op5_mix_sources,
+        op6_chat_format,
+        op7_language_id,
+        op8_toxicity,
+        op9_decontaminate,
+        op10_url_filter,
+    )
 }
 
 ORACLE_SQL = {

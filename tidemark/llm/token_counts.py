@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import text_bytes
+from .common import ship, text_bytes
 
 #: Bytes of text that one call of the tokenizer gets, and the length of the parts of a longer text.
 BATCH_BYTES = 1 << 18
@@ -93,6 +93,7 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = 1024, batch_byte
     library's default has it. One row comes back per input row, repeated rows included. A null or empty text has no
     bytes and no tokens; a null doc_id stays null; other columns are ignored; an empty table gives no rows.
     """
+    ship(docs.sparkSession)
 
     def run(batches):
         return _encoded(batches, vocabulary, limit, batch_bytes)
