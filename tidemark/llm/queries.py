@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, language_id, line_dedup, mixing, token_counts, toxicity, url_filter
+from . import chat_format, decontaminate, embedding_dedup, language_id, line_dedup, mixing, near_dedup, token_counts, toxicity, url_filter
 from .common import table
 
 #: Paths of the tokenizer files on every executor; by default those of the installed package.
@@ -25,6 +25,14 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "text", F.col("__n_words").alias("n_words"), F.col("__n_removed").alias("n_removed"))
 
 
+def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), k=3, share=(17, 20))
+
+
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), BYTE_BPE or _vocabulary("byte_bpe_50k.json"))
 
@@ -69,6 +77,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_line_dedup,
+        op2_minhash_dedup,
+        op3_embedding_dedup,
         op4_token_counts,
         op5_mix_sources,
         op6_chat_format,
@@ -80,6 +90,31 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op2_minhash_dedup": r"""
+        WITH RECURSIVE d AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                   '[^\x20\x09-\x0D]+') AS w FROM documents),
+        s AS (SELECT DISTINCT doc_id, array_to_string(w[k:k + 2], ' ') AS g
+              FROM d, LATERAL unnest(range(1, greatest(2, len(w) - 1))) AS t(k) WHERE len(w) > 0),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS i FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
+        l AS (SELECT a, b FROM p JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * i >= 85 * (x.n + y.n - i)),
+        e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+        r AS (SELECT doc_id, doc_id AS c FROM d UNION SELECT e.b, r.c FROM r JOIN e ON r.doc_id = e.a),
+        m AS (SELECT doc_id, min(c) AS component_id FROM r GROUP BY doc_id)
+        SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, d.doc_id = component_id AS kept
+        FROM d JOIN m USING (doc_id) LEFT JOIN n USING (doc_id)""",
+    "op3_embedding_dedup": """
+        WITH RECURSIVE v AS (
+            SELECT vec_id, label, CASE WHEN label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+                   AND list_max(list_transform(embedding, lambda x: abs(x))) > 0 THEN embedding::DOUBLE[] END AS e FROM embeddings),
+        l AS (SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.label = y.label AND x.vec_id <> y.vec_id AND len(x.e) = len(y.e)
+              WHERE list_cosine_similarity(x.e, y.e) >= 0.98),
+        r AS (SELECT vec_id, vec_id AS c FROM v UNION SELECT l.b, r.c FROM r JOIN l ON r.vec_id = l.a),
+        m AS (SELECT vec_id, min(c) AS component_id FROM r GROUP BY vec_id),
+        n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+        SELECT v.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, component_id, v.vec_id = component_id AS kept
+        FROM v JOIN m USING (vec_id) LEFT JOIN n ON n.a = v.vec_id""",
     "op5_mix_sources": """
         WITH d AS (
             SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
