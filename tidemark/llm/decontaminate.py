@@ -23,6 +23,8 @@ OUT = (
     "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, "
     "items array<string>, spans array<struct<first:long, end:long>>"
 )
+#: What the passes over a text add up.
+STATE = (("__n_words", "bigint"), ("__runs", "array<bigint>"), ("__items", "array<string>"))
 _SPACED = bytes(int(b) or 32 for b in ALNUM_LOWER)
 
 _built: dict[int, object] = {}
@@ -87,7 +89,7 @@ def _spans(text: bytes, runs: tuple[np.ndarray, np.ndarray]) -> list[dict]:
     return [{"first": int(points[starts[a]]), "end": int(points[ends[b - 1]])} for a, b in zip(*runs, strict=True)]
 
 
-def _scanned(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
+def _scanned(batches: Iterator[pa.RecordBatch], shared, carried: list[str]) -> Iterator[pa.RecordBatch]:
     """Adds this automaton's hits to those of earlier passes: runs of hit words, and items."""
     automaton = _automaton(shared)
     for batch in batches:
@@ -106,18 +108,22 @@ def _scanned(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBat
             found.append(sorted(items.union(old_items or ())) or None)
         yield pa.RecordBatch.from_arrays(
             [
-                batch.column("doc_id"), batch.column("text"), pa.array(n_words, pa.int64()),
+                *(batch.column(c) for c in carried), pa.array(n_words, pa.int64()),
                 pa.array(runs, pa.list_(pa.int64())), pa.array(found, pa.list_(pa.string())),
             ],
-            ["doc_id", "text", "__n_words", "__runs", "__items"],
+            [*carried, *(name for name, _ in STATE)],
         )
 
 
+def _hits(runs: list[list[int] | None]) -> np.ndarray:
+    return np.array([sum(r[1::2]) - sum(r[::2]) if r else 0 for r in runs], np.int64)
+
+
 def _judged(batches: Iterator[pa.RecordBatch], share: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts, runs, items = batch.column("text"), batch.column("__runs").to_pylist(), batch.column("__items").to_pylist()
         n_words = batch.column("__n_words").to_numpy()
-        n_hit = np.array([sum(r[1::2]) - sum(r[::2]) if r else 0 for r in runs], np.int64)
+        n_hit = _hits(runs)
         spans = [
             _spans(texts[i].as_py().encode(), (np.array(r[::2]), np.array(r[1::2]))) if r else [] for i, r in enumerate(runs)
         ]
@@ -134,31 +140,20 @@ def _judged(batches: Iterator[pa.RecordBatch], share: int) -> Iterator[pa.Record
         )
 
 
-def decontaminate(
-    docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20, automaton_bytes: int = AUTOMATON_BYTES
-) -> DataFrame:
-    """Benchmark hits of every whole text of (doc_id, text) against the items (item_id, text).
-
-    Per input row: n_words, n_hit (words inside an occurrence of any item's window), items (sorted ids, as strings) and
-    their digest, spans of hit words, and contaminated: n_hit > 0 and ``share`` * n_hit >= n_words. A null or empty text
-    has no words and is clean; an item without words has no window and a null item_id counts as "null"; repeated rows
-    come out as often as they went in; an empty benchmark hits nothing; other columns are ignored.
+def scanned(docs: DataFrame, benchmark: DataFrame, window: int, automaton_bytes: int) -> DataFrame:
+    """The rows of ``docs`` with the hits of all automata.
 
     The automata live in executors, so their size is bounded: the benchmark is measured first and dealt by item over as
     many automata as its windows need, one pass over a checkpoint each.
     """
     spark = docs.sparkSession
     ship(spark)
+    carried = docs.columns
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), "text")
     needed = items.agg(F.sum(F.length("text").cast("long") * window)).first()[0] or 0
     shards = max(1, -(-needed // automaton_bytes))
-    state = docs.select(
-        "doc_id",
-        "text",
-        F.lit(0).cast("long").alias("__n_words"),
-        F.lit(None).cast("array<bigint>").alias("__runs"),
-        F.lit(None).cast("array<string>").alias("__items"),
-    )
+    state = docs.select("*", *[F.lit(None if kind[0] == "a" else 0).cast(kind).alias(name) for name, kind in STATE])
+    schema = state.schema
     for shard in range(shards):
         windows: dict[bytes, list[str]] = {}
         for item_id, text in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == shard).toLocalIterator():
@@ -168,13 +163,41 @@ def decontaminate(
         shared = spark.sparkContext.broadcast(windows)
 
         def run(batches, shared=shared):
-            return _scanned(batches, shared)
+            return _scanned(batches, shared, carried)
 
         if shard:
             state = cut(state)
-        state = state.mapInArrow(run, "doc_id long, text string, __n_words long, __runs array<bigint>, __items array<string>")
+        state = state.mapInArrow(run, schema)
+    return state
+
+
+def decontaminate(
+    docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20, automaton_bytes: int = AUTOMATON_BYTES
+) -> DataFrame:
+    """Benchmark hits of every whole text of (doc_id, text) against the items (item_id, text).
+
+    Per input row: n_words, n_hit (words inside an occurrence of any item's window), items (sorted ids, as strings) and
+    their digest, spans of hit words, and contaminated: n_hit > 0 and ``share`` * n_hit >= n_words. A null or empty text
+    has no words and is clean; an item without words has no window and a null item_id counts as "null"; repeated rows
+    come out as often as they went in; an empty benchmark hits nothing; other columns are ignored.
+    """
 
     def judge(batches):
         return _judged(batches, share)
 
-    return state.mapInArrow(judge, OUT)
+    return scanned(docs.select("doc_id", "text"), benchmark, window, automaton_bytes).mapInArrow(judge, OUT)
+
+
+def drop_contaminated(
+    docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20, automaton_bytes: int = AUTOMATON_BYTES
+) -> DataFrame:
+    """The rows of (doc_id, text, ...) that aren't contaminated, whole and with all their columns; nulls as in ``decontaminate``."""
+
+    def clean(batches):
+        for batch in batches:
+            n_hit = _hits(batch.column("__runs").to_pylist())
+            contaminated = (n_hit > 0) & (share * n_hit >= batch.column("__n_words").to_numpy())
+            yield batch.select(range(len(docs_columns))).filter(pa.array(~contaminated))
+
+    docs_columns = docs.columns
+    return scanned(docs, benchmark, window, automaton_bytes).mapInArrow(clean, docs.schema)

@@ -8,6 +8,7 @@ from what the prior leaves of the unlabelled text are selected, and one Aho-Cora
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -162,9 +163,7 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5) -> tuple[list[str]
     return features, np.where(kept, weights, 0.0), bias
 
 
-def _scored(batches: Iterator[pa.RecordBatch], shared, folds: int) -> Iterator[pa.RecordBatch]:
-    import zlib
-
+def _scores(batches: Iterator[pa.RecordBatch], shared) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
     key = id(shared.value)
     if key not in _built:
         features, weights, bias = shared.value
@@ -176,7 +175,11 @@ def _scored(batches: Iterator[pa.RecordBatch], shared, folds: int) -> Iterator[p
         for row, text in enumerate(part.column("text").to_pylist()):
             if text:
                 logits[row] += weights[present(matcher, text)].sum()
-        scores = 1 / (1 + np.exp(-np.clip(logits, -500, 500)))
+        yield part, 1 / (1 + np.exp(-np.clip(logits, -500, 500)))
+
+
+def _scored(batches: Iterator[pa.RecordBatch], shared, folds: int) -> Iterator[pa.RecordBatch]:
+    for part, scores in _scores(batches, shared):
         held = [None if i is None else zlib.crc32(str(i).encode()) % folds == 0 for i in part.column("doc_id").to_pylist()]
         yield pa.RecordBatch.from_arrays(
             [part.column("doc_id"), pa.array(held, pa.bool_()), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))],
@@ -197,3 +200,15 @@ def score_toxicity(docs: DataFrame, model: tuple[list[str], np.ndarray, float],
         return _scored(batches, shared, folds)
 
     return docs.select("doc_id", "text").mapInArrow(run, OUT)
+
+
+def drop_toxic(docs: DataFrame, model: tuple[list[str], np.ndarray, float]) -> DataFrame:
+    """The rows of (text, ...) with a score below 0.5, whole and with all their columns; nulls as in ``score_toxicity``."""
+    ship(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        for part, scores in _scores(batches, shared):
+            yield part.filter(pa.array(scores < 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
