@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import gc
 import os
+import uuid
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from pathlib import Path
@@ -38,20 +41,65 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cuts lineage through the shared checkpoint folder, so that a lost executor costs no recomputation from the start.
+def shared_folder(spark: SparkSession) -> str:
+    """This session's folder below the one that the cluster names in ``spark.checkpoint.dir``.
 
-    The folder is the one the session names in ``spark.checkpoint.dir``. Only a local session without that
-    setting gets a folder below its warehouse.
+    Only a local session without that setting gets a folder below its warehouse.
     """
-    ship(df.sparkSession)
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
+    context = spark.sparkContext
+    held = context._jsc.sc().getCheckpointDir()
+    if held.isEmpty():
         where = context.getConf().get("spark.checkpoint.dir") or (
-            df.sparkSession.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+            spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
         )
         context.setCheckpointDir(where)
-    return df.checkpoint(eager=True)
+        held = context._jsc.sc().getCheckpointDir()
+    return held.get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cuts lineage by a table in the shared folder, so that a lost executor costs no recomputation from the start.
+
+    Unlike a checkpointed plan, a table read anew carries no constraints along, which would multiply over the rounds of an
+    iteration, and its columns and filters are pruned and pushed down. ``drop`` deletes it; the rest goes with the session.
+    """
+    spark = df.sparkSession
+    ship(spark)
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    if not _tables:
+        atexit.register(_drop_all)
+    _tables[path] = spark
+    out = spark.read.schema(df.schema).parquet(path)
+    out._table = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes tables of ``cut`` that nothing needs any more."""
+    for df in tables:
+        _delete(df._table)
+
+
+_tables: dict[str, SparkSession] = {}
+
+
+def _delete(path: str) -> None:
+    spark = _tables.pop(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def _drop_all() -> None:
+    for path, spark in list(_tables.items()):
+        if spark.sparkContext._jsc is not None and spark.sparkContext._jsc.sc().isStopped() is False:
+            _delete(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner drop the shuffle files of steps that are over and that no DataFrame needs any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -181,8 +229,26 @@ def _piece(data: np.ndarray, offset: int, bounds: np.ndarray, letters: np.ndarra
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(_byte_values()[mapped] * up[:n], out=total[1:])
     hashes = mix64((total[ends] - total[starts]) * down[starts])
-    rows = np.searchsorted(bounds, starts + offset, "right") - 1
-    return hashes, starts + offset, ends + offset, rows
+    return hashes, starts + offset, ends + offset, _rows(starts + offset, bounds)
+
+
+def _rows(starts: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    return np.repeat(np.arange(len(bounds) - 1), np.diff(np.searchsorted(starts, bounds)))
+
+
+def word_bounds(data: np.ndarray, bounds: np.ndarray, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First byte, end byte and row of every word, without hashes."""
+    word = letters[data] != 0
+    n = len(word)
+    edge = np.zeros(n + 1, bool)
+    edge[1:n] = word[1:] != word[:-1]
+    inner = bounds[1:-1]
+    edge[inner] |= word[np.maximum(inner, 1) - 1] | word[np.minimum(inner, max(0, n - 1))] if n else False
+    at = np.flatnonzero(edge[:n])
+    at = np.concatenate(([0], at[at > 0])) if n else at
+    keep = word[at] if n else np.zeros(0, bool)
+    ends = np.append(at[1:], n)
+    return at[keep], ends[keep], _rows(at[keep], bounds)
 
 
 def gram_hashes(words: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

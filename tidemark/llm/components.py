@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, drop
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -14,7 +14,7 @@ def components(edges: DataFrame) -> DataFrame:
     In each round a node moves to the neighbour with the least salted hash, if that is less than its own, and the edges are
     drawn anew between where their ends moved; a constant share of the nodes goes each round, also on long paths. Only
     least values by node are shuffled, summed up before the shuffle, so that a hub's edges never meet in one task. Null ends and
-    loops don't count; repeated edges count once; no edges give no rows. Rounds are cut by checkpoints.
+    loops don't count; repeated edges count once; no edges give no rows. Rounds are cut by written tables.
     """
     live = cut(
         edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -32,12 +32,18 @@ def components(edges: DataFrame) -> DataFrame:
         )
         moves.append(move)
         ends = live.join(move.toDF("a", "p"), "a").join(move.toDF("b", "q"), "b")
-        live = cut(ends.where("p <> q").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct())
+        left = cut(ends.where("p <> q").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct())
+        drop(live)
+        live = left
     if not moves:
+        drop(live)
         return edges.sparkSession.createDataFrame([], "node long, component long")
     at = moves[0].select("node", F.col("to").alias("root"))
     for move in moves[1:]:
         at = at.join(move.toDF("root", "next"), "root", "left").select("node", F.coalesce("next", "root").alias("root"))
     at = cut(at)
+    drop(live, *moves)
     least = at.groupBy("root").agg(F.min("node").alias("component"))
-    return cut(at.join(least, "root").select("node", "component"))
+    out = cut(at.join(least, "root").select("node", "component"))
+    drop(at)
+    return out
