@@ -126,13 +126,14 @@ def fit(rows: list[tuple[bool, list[int]]], n: int, prior: float) -> tuple[np.nd
     row = np.repeat(np.arange(len(rows)), [len(at) + 1 for _, at in rows])
     at = np.concatenate([np.array([*at, n]) for _, at in rows])  # feature n is the intercept
     n_pos, n_other = positive.sum(), (~positive).sum()
-    weights[n] = np.log(prior / (1 - prior))
+    weights[n] = start = np.log(prior / (1 - prior))
     first, second, best = np.zeros(n + 1), np.zeros(n + 1), (np.inf, weights.copy())
     for step in range(1, STEPS + 1):
         z = np.bincount(row, weights[at], len(rows))
         s = 1 / (1 + np.exp(-z))
         negative_risk = np.logaddexp(0, z[~positive]).sum() / n_other - prior * np.logaddexp(0, z[positive]).sum() / n_pos
-        risk = prior * np.logaddexp(0, -z[positive]).sum() / n_pos + max(0.0, negative_risk)
+        # Clipping can't tell an overfitted negative risk from none, so the steps are compared by its distance from 0.
+        risk = prior * np.logaddexp(0, -z[positive]).sum() / n_pos + abs(negative_risk)
         if risk < best[0]:
             best = (risk, weights.copy())
         corrected = np.where(positive, -prior * s / n_pos, s / n_other)
@@ -141,6 +142,7 @@ def fit(rows: list[tuple[bool, list[int]]], n: int, prior: float) -> tuple[np.nd
         grad = np.bincount(at, slope[row], n + 1) + DECAY * np.append(weights[:n], 0)
         first, second = 0.9 * first + 0.1 * grad, 0.999 * second + 0.001 * grad**2
         weights -= RATE * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-9)
+        weights[n] = min(weights[n], start)  # a text without features is no likelier toxic than the prior says
     return best[1][:n], float(best[1][n])
 
 
