@@ -19,15 +19,34 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANK_CASED, gram_hashes, mix64, powers, ship, signed, slices, text_bytes, word_hashes
+from .common import (
+    BLANK_CASED,
+    cut,
+    drop,
+    gram_hashes,
+    mix64,
+    powers,
+    reach,
+    release,
+    ship,
+    signed,
+    slices,
+    text_bytes,
+    word_bounds,
+    word_hashes,
+)
 
 #: Least words of a deleted run, and words of the winnowed grams.
 RUN, GRAM = 50, 20
-#: An anchor's place in one long: 23 bits of the text's hash, 28 of the word's place, 6 each of the reach to both sides.
-TEXT_BITS, REACH_BITS = 23, 6
+#: An anchor's place in one long: 22 bits of the text's hash, 28 of the word's place, 6 each of the reach to both sides, and
+#: whether its hash occurs again in the same run of rows (a window: text, place and that mark).
+TEXT_BITS, PLACE_BITS, REACH_BITS = 22, 28, 6
+PLACE_AT = 2 * REACH_BITS + 1
+TEXT_AT = PLACE_AT + PLACE_BITS
 
 
 def _spread(words: np.ndarray, rows: np.ndarray, run: int, gram: int):
@@ -36,16 +55,11 @@ def _spread(words: np.ndarray, rows: np.ndarray, run: int, gram: int):
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), None
     grams, _ = gram_hashes(words, rows, gram)
-    value, place, width = grams, np.arange(len(grams)), run - gram + 1
-    span = 1
-    while span < width:
-        step = min(span, width - span)
-        right = value[step:] < value[:-step]
-        value = np.where(right, value[step:], value[:-step])
-        place = np.where(right, place[step:], place[:-step])
-        span += step
+    # The place stands in the low bits, so that one minimum finds it; grams that agree above tie, and the first is taken.
+    low = np.uint64((1 << max(1, len(grams).bit_length())) - 1)
+    least = reach((grams & ~low) | np.arange(len(grams), dtype=np.uint64), run - gram + 1, False)
     firsts = np.flatnonzero(rows[run - 1 :] == rows[:n])
-    return firsts, place[firsts], grams
+    return firsts, (least[firsts] & low).astype(np.int64), grams
 
 
 def _prefix(words: np.ndarray) -> np.ndarray:
@@ -64,6 +78,12 @@ def _row_first(rows: np.ndarray, n: int) -> np.ndarray:
     return np.searchsorted(rows, np.arange(n))
 
 
+def _again(hashes: np.ndarray) -> np.ndarray:
+    """1 for hashes that occur more than once."""
+    _, index, n = np.unique(hashes, return_inverse=True, return_counts=True)
+    return (n[index] > 1).astype(np.int64)
+
+
 def _anchors(batches: Iterator[pa.RecordBatch], run: int, gram: int) -> Iterator[pa.RecordBatch]:
     for part in slices(batches):
         words, _, _, rows = word_hashes(*text_bytes(part.column("text")), BLANK_CASED)
@@ -75,11 +95,12 @@ def _anchors(batches: Iterator[pa.RecordBatch], run: int, gram: int) -> Iterator
         p = anchors[np.concatenate(([0], edge + 1))]
         row = rows[p]
         before, after = p - s1, p - s2
-        reach = _run_hash(_prefix(words), s1, s2 + run, (before << REACH_BITS) | after)
+        extent = _run_hash(_prefix(words), s1, s2 + run, (before << REACH_BITS) | after)
         local = p - _row_first(rows, part.num_rows)[row]
-        at = (part.column("__t").to_numpy()[row] << 40) | (local << 2 * REACH_BITS) | (before << REACH_BITS) | after
+        at = (part.column("__t").to_numpy()[row] << TEXT_AT) | (local << PLACE_AT) | (before << REACH_BITS + 1) | (after << 1)
+        at |= _again(grams[p])
         yield pa.RecordBatch.from_arrays(
-            [pa.array(signed(grams[p])), pa.array(signed(reach)), part.column("doc_id").take(pa.array(row)), pa.array(at)],
+            [pa.array(signed(grams[p])), pa.array(signed(extent)), part.column("doc_id").take(pa.array(row)), pa.array(at)],
             ["hash", "reach", "doc_id", "at"],
         )
 
@@ -94,33 +115,42 @@ def _windows(batches: Iterator[pa.RecordBatch], run: int) -> Iterator[pa.RecordB
         at = lists.flatten().to_numpy()
         row = np.repeat(np.arange(part.num_rows), sizes)
         mask = (1 << REACH_BITS) - 1
-        p = ((at >> 2 * REACH_BITS) & ((1 << 28) - 1)) + first[row]
-        s1, s2 = p - ((at >> REACH_BITS) & mask), p - (at & mask)
+        p = ((at >> PLACE_AT) & ((1 << PLACE_BITS) - 1)) + first[row]
+        s1, s2 = p - ((at >> REACH_BITS + 1) & mask), p - ((at >> 1) & mask)
         n = s2 - s1 + 1
         s = np.repeat(s1, n) + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
         row = np.repeat(row, n)
+        hashes = _run_hash(_prefix(words), s, s + run, 0)
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array(signed(_run_hash(_prefix(words), s, s + run, 0))), part.column("doc_id").take(pa.array(row)),
-                pa.array((part.column("__t").to_numpy()[row] << 40) | (s - first[row])),
+                pa.array(signed(hashes)), part.column("doc_id").take(pa.array(row)),
+                pa.array((part.column("__t").to_numpy()[row] << TEXT_AT) | ((s - first[row]) << PLACE_AT) | _again(hashes)),
             ],
             ["hash", "doc_id", "at"],
         )
 
 
-def later_words(doc_id: int, n: int, repeats: list[dict], run: int) -> np.ndarray:
-    """Which of a text's n words are to go. A repeat: hash, first word, number of windows, least doc_id it occurs in."""
+def later_words(n: int, later: np.ndarray, own: np.ndarray, hashes: np.ndarray, run: int) -> np.ndarray:
+    """Which of a text's n words are to go. A repeat: first word << REACH_BITS | windows - 1.
+
+    All words of ``later`` go, which a lesser doc_id has, too. Of those in ``own``, which start in this text, the first of
+    each hash and number of windows stays, as do its words in later ones that overlap it.
+    """
     edge = np.zeros(n + 1, np.int64)
-    home: dict[tuple[int, int], int] = {}
-    for r in sorted(repeats, key=lambda r: r["first"]):
-        first, end = r["first"], r["first"] + r["windows"] - 1 + run
-        if r["least"] == doc_id:
-            start = home.setdefault((r["hash"], r["windows"]), first)
-            if start == first:
-                continue
-            first = max(first, start + run)
-        edge[first] += 1
-        edge[end] -= 1
+    first, windows = later >> REACH_BITS, (later & ((1 << REACH_BITS) - 1)) + 1
+    start, end = first, first + windows - 1 + run
+    if len(own):
+        at, count = own >> REACH_BITS, (own & ((1 << REACH_BITS) - 1)) + 1
+        order = np.lexsort((at, count, hashes))
+        at, count, hashes = at[order], count[order], hashes[order]
+        head = np.ones(len(at), bool)
+        head[1:] = (hashes[1:] != hashes[:-1]) | (count[1:] != count[:-1])
+        home = at[np.maximum.accumulate(np.where(head, np.arange(len(at)), 0))]
+        own_end = at + count - 1 + run
+        start = np.concatenate((start, np.where(at == home, own_end, np.maximum(at, home + run))))
+        end = np.concatenate((end, own_end))
+    np.add.at(edge, start, 1)
+    np.add.at(edge, end, -1)
     return np.cumsum(edge)[:-1] > 0
 
 
@@ -138,14 +168,20 @@ def cut_words(text: bytes, starts: np.ndarray, ends: np.ndarray, gone: np.ndarra
 def _cleaned(batches: Iterator[pa.RecordBatch], run: int, names: list[str]) -> Iterator[pa.RecordBatch]:
     for part in slices(batches):
         data, bounds = text_bytes(part.column("text"))
-        _, starts, ends, rows = word_hashes(data, bounds, BLANK_CASED)
+        starts, ends, rows = word_bounds(data, bounds, BLANK_CASED)
         first = np.searchsorted(rows, np.arange(part.num_rows + 1))
-        repeats, ids, raw = part.column("__repeats"), part.column("doc_id"), data.tobytes()
+        raw = data.tobytes()
+        later, own = part.column("__later"), part.column("__own")
+        spots, mine = later.flatten().to_numpy(), own.flatten()
+        hashes, own_spots = mine.field("hash").to_numpy(), mine.field("spot").to_numpy()
+        bounds_of = lambda x: np.concatenate(([0], np.cumsum(x.value_lengths().fill_null(0).to_numpy().astype(np.int64))))
+        l_at, o_at = bounds_of(later), bounds_of(own)
         removed = np.zeros(part.num_rows, np.int64)
         texts: dict[int, str] = {}
-        for row in np.flatnonzero(repeats.is_valid().to_numpy(zero_copy_only=False)):
+        for row in np.flatnonzero((np.diff(l_at) > 0) | (np.diff(o_at) > 1)):
             a, b = first[row], first[row + 1]
-            gone = later_words(ids[row].as_py(), b - a, repeats[row].as_py(), run)
+            mine_at = slice(o_at[row], o_at[row + 1])
+            gone = later_words(b - a, spots[l_at[row] : l_at[row + 1]], own_spots[mine_at], hashes[mine_at], run)
             if gone.any():
                 removed[row] = gone.sum()
                 base = bounds[row]
@@ -153,10 +189,9 @@ def _cleaned(batches: Iterator[pa.RecordBatch], run: int, names: list[str]) -> I
         columns = [part.column(c) for c in names]
         if texts:
             at = names.index("text")
-            old = columns[at].to_pylist()
-            for row, text in texts.items():
-                old[row] = text
-            columns[at] = pa.array(old, columns[at].type)
+            changed = np.zeros(part.num_rows, bool)
+            changed[list(texts)] = True
+            columns[at] = pc.replace_with_mask(columns[at], pa.array(changed), pa.array(texts.values(), columns[at].type))
         yield pa.RecordBatch.from_arrays(
             [*columns, pa.array(np.diff(first), pa.int64()), pa.array(removed)], [*names, "__n_words", "__n_removed"]
         )
@@ -190,35 +225,31 @@ def dedup_lines(docs: DataFrame, run: int = RUN, gram: int = GRAM) -> DataFrame:
     def clean(batches):
         return _cleaned(batches, run, names)
 
-    anchors = known.select("doc_id", "text", "__t").mapInArrow(find, "hash long, reach long, doc_id long, at long")
-    repeated = anchors.join(
-        _repeated(anchors, (F.min("reach") != F.max("reach")).alias("mixed")), "hash"
-    )
-    place = F.shiftright("at", 40).alias("__t")
+    anchors = cut(known.select("doc_id", "text", "__t").mapInArrow(find, "hash long, reach long, doc_id long, at long"))
+    repeated = cut(anchors.join(_repeated(anchors, (F.min("reach") != F.max("reach")).alias("mixed")), "hash").drop("reach"))
+    drop(anchors)
+    release(docs.sparkSession)
+    place = F.shiftright("at", TEXT_AT).alias("__t")
     mask = (1 << REACH_BITS) - 1
-    before, after = F.shiftright("at", REACH_BITS).bitwiseAND(mask), F.col("at").bitwiseAND(mask)
-    word = F.shiftright("at", 2 * REACH_BITS).bitwiseAND((1 << 28) - 1)
-    whole = repeated.where("not mixed").select(
-        "doc_id",
-        place,
-        F.struct(
-            "hash", (word - before).alias("first"), (before - after + 1).alias("windows"), "least"
-        ).alias("repeat"),
-    )
+    before, after = F.shiftright("at", REACH_BITS + 1).bitwiseAND(mask), F.shiftright("at", 1).bitwiseAND(mask)
+    word = F.shiftright("at", PLACE_AT).bitwiseAND((1 << PLACE_BITS) - 1)
+    # Where no lesser doc_id has a repeat, it matters only if its hash occurs again in this text.
+    later, own = F.col("least") < F.col("doc_id"), F.col("at").bitwiseAND(1) == 1
+
+    def spots(found: DataFrame, first, windows) -> DataFrame:
+        spot = F.shiftleft(first, REACH_BITS).bitwiseOR(windows - 1)
+        kept = found.where(later | own)
+        return kept.select("doc_id", place, F.when(later, spot).alias("later"), F.when(~later, F.struct("hash", spot.alias("spot"))).alias("own"))
+
+    whole = spots(repeated.where("not mixed"), word - before, before - after + 1)
     mixed = repeated.where("mixed").groupBy("doc_id", place).agg(F.collect_list("at").alias("__mixed"))
     around = known.join(mixed, ["doc_id", "__t"]).select(*[known[c] for c in known.columns], "__mixed").mapInArrow(
         expand, "hash long, doc_id long, at long"
     )
-    single = around.join(_repeated(around), "hash").select(
-        "doc_id",
-        place,
-        F.struct(
-            "hash", F.col("at").bitwiseAND((1 << 40) - 1).alias("first"), F.lit(1).cast("long").alias("windows"), "least"
-        ).alias("repeat"),
-    )
-    repeats = whole.unionByName(single).groupBy("doc_id", "__t").agg(F.collect_list("repeat").alias("__repeats"))
+    single = spots(around.join(_repeated(around), "hash"), word, F.lit(1).cast("long"))
+    repeats = whole.unionByName(single).groupBy("doc_id", "__t").agg(F.collect_list("later").alias("__later"), F.collect_list("own").alias("__own"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", __n_words long, __n_removed long"
-    joined = known.join(repeats, ["doc_id", "__t"], "left").select(*[known[c] for c in names], "__repeats")
-    kind = "array<struct<hash:bigint,first:bigint,windows:bigint,least:bigint>>"
-    bare = keyed.where("doc_id is null").select(*names, F.lit(None).cast(kind).alias("__repeats"))
+    joined = known.join(repeats, ["doc_id", "__t"], "left").select(*[known[c] for c in names], "__later", "__own")
+    none = [F.lit(None).cast(kind).alias(c) for c, kind in (("__later", "array<bigint>"), ("__own", "array<struct<hash:bigint,spot:bigint>>"))]
+    bare = keyed.where("doc_id is null").select(*names, *none)
     return joined.unionByName(bare).mapInArrow(clean, fields)
