@@ -299,3 +299,45 @@ def net_returns(gross: DataFrame, one_way_bps: float) -> DataFrame:
     """Adds net = gross - turnover * one-way cost to (gross, turnover)."""
     return gross.withColumn("net", F.col("gross") - F.col("turnover") * one_way_bps / 10_000.0)
 
+
+
+def forward_fill(calendar: DataFrame, closes: DataFrame) -> DataFrame:
+    """(symbol, day, close) on every day of ``calendar`` from a symbol's first close on, gaps taking the last one before.
+
+    One sorted stream by symbol; the grid has one row per symbol and calendar day, as the result does.
+    """
+    spans = closes.groupBy("symbol").agg(F.min("day").alias("from"))
+    grid = spans.join(calendar.select("day").distinct(), F.col("day") >= F.col("from")).select("symbol", "day")
+    both = grid.unionByName(closes.select("symbol", "day", "close"), allowMissingColumns=True)
+    merged = both.groupBy("symbol", "day").agg(F.max("close").alias("close"))
+    w = _by("symbol").rowsBetween(Window.unboundedPreceding, 0)
+    return merged.select("symbol", "day", F.last("close", ignorenulls=True).over(w).alias("close"))
+
+
+def forward_returns(closes: DataFrame, ahead: int = 20) -> DataFrame:
+    """(symbol, day, fwd): simple return over the next ``ahead`` bars, a label that must never be a feature."""
+    return closes.select("symbol", "day", (ratio(F.lead("close", ahead).over(_by("symbol")), F.col("close")) - 1).alias("fwd")).where("fwd is not null")
+
+
+def channels(closes: DataFrame, n: int = 20) -> DataFrame:
+    """(symbol, day, upper, lower, breakout): extremes of the n bars before this one, and 1, -1 or 0 for a close beyond them."""
+    w = _by("symbol").rowsBetween(-n, -1)
+    full = F.count("close").over(w) >= n
+    upper, lower = F.when(full, F.max("close").over(w)), F.when(full, F.min("close").over(w))
+    held = closes.select("symbol", "day", "close", upper.alias("upper"), lower.alias("lower"))
+    out = F.when(F.col("close") > F.col("upper"), 1).when(F.col("close") < F.col("lower"), -1).otherwise(0)
+    return held.select("symbol", "day", "upper", "lower", out.alias("breakout"))
+
+
+def winsorised(factors: DataFrame, column: str = "factor", low: float = 0.01, high: float = 0.99) -> DataFrame:
+    """(symbol, day, clipped, zscore): a factor clipped at its day's quantiles, then standardised within the day."""
+    cuts = factors.groupBy("day").agg(F.percentile(column, F.lit(low)).alias("__l"), F.percentile(column, F.lit(high)).alias("__h"))
+    clipped = factors.join(cuts, "day").select("symbol", "day", F.greatest(F.least(F.col(column), F.col("__h")), F.col("__l")).alias("clipped"))
+    day = Window.partitionBy("day")
+    return clipped.withColumn("zscore", ratio(F.col("clipped") - F.avg("clipped").over(day), F.stddev_samp("clipped").over(day)))
+
+
+def inverse_vol_weights(returns: DataFrame, window: int = 20) -> DataFrame:
+    """(symbol, day, weight): shares of 1 / volatility among the symbols of a day whose window is full."""
+    inverse = rolling_vol(returns, window).where("vol > 0").withColumn("__i", 1 / F.col("vol"))
+    return inverse.select("symbol", "day", (F.col("__i") / F.sum("__i").over(Window.partitionBy("day"))).alias("weight"))

@@ -600,6 +600,44 @@ def turnover(spark, d):
     return analytics.turnover(weights).select("day", r("turnover"))
 
 
+@query(f"""WITH {ALIGNED}, p AS ({ORDER_BARS}), s AS (SELECT symbol, min(day) AS f FROM p GROUP BY symbol), k2 AS (SELECT DISTINCT l_shipdate::DATE AS day FROM lineitem),
+    g AS (SELECT symbol, day FROM s, k2 WHERE day >= f UNION SELECT symbol, day FROM p)
+    SELECT g.symbol, g.day, last_value(p.close IGNORE NULLS) OVER (PARTITION BY g.symbol ORDER BY g.day) AS close FROM g LEFT JOIN p ON g.symbol = p.symbol AND g.day = p.day""")
+def forward_fill(spark, d):
+    calendar = read(spark, d, "lineitem").select(F.to_date("l_shipdate").alias("day"))
+    return analytics.forward_fill(calendar, dated(bar_sources.order_bars(read(spark, d, "orders"))))
+
+
+@query(f"WITH {ALIGNED}, f AS (SELECT symbol, day, lead(close, 20) OVER (PARTITION BY symbol ORDER BY day) / close - 1 AS fwd FROM c) SELECT symbol, day, round(fwd, 6) + 0.0 AS fwd FROM f WHERE fwd IS NOT NULL")
+def forward_return_20(spark, d):
+    return analytics.forward_returns(closes(spark, d)).select("symbol", "day", r("fwd"))
+
+
+@query(f"""WITH b AS ({ORDER_BARS}), x AS (SELECT symbol, day, close, CASE WHEN count(*) OVER w >= 20 THEN max(close) OVER w END AS upper, CASE WHEN count(*) OVER w >= 20 THEN min(close) OVER w END AS lower
+    FROM b WINDOW w AS (PARTITION BY symbol ORDER BY day ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING))
+    SELECT symbol, day, upper, lower, CASE WHEN close > upper THEN 1 WHEN close < lower THEN -1 ELSE 0 END::INTEGER AS breakout FROM x""")
+def channel_breakout(spark, d):
+    return analytics.channels(dated(bar_sources.order_bars(read(spark, d, "orders"))))
+
+
+@query(f"""WITH {SUPPLY}, q AS (SELECT day, quantile_cont(momentum, 0.01) AS l, quantile_cont(momentum, 0.99) AS h FROM f GROUP BY day), x AS (SELECT symbol, f.day, greatest(least(momentum, h), l) AS clipped FROM f JOIN q ON f.day = q.day)
+    SELECT symbol, day, round(clipped, 4) AS clipped, round((clipped - avg(clipped) OVER (PARTITION BY day)) / nullif(stddev_samp(clipped) OVER (PARTITION BY day), 0), 5) + 0.0 AS zscore FROM x""")
+def winsorised_zscore(spark, d):
+    return analytics.winsorised(supply(spark, d), "momentum").select("symbol", "day", r("clipped", 4), r("zscore", 5))
+
+
+@query(f"""WITH {ALIGNED}, vols AS (SELECT symbol, day, CASE WHEN count(*) OVER w >= 20 THEN stddev_samp(ret) OVER w * sqrt(252) END AS vol FROM ret WINDOW w AS {FRAME.format(19)})
+    SELECT symbol, day, round((1 / vol) / sum(1 / vol) OVER (PARTITION BY day), 6) AS weight FROM vols WHERE vol > 0""")
+def inverse_vol_weights(spark, d):
+    return analytics.inverse_vol_weights(returns(spark, d)).select("symbol", "day", r("weight"))
+
+
+@query(f"""WITH {ALIGNED} SELECT symbol, day, round(ret - 0.2 * 7.7 / 10000, 8) + 0.0 AS net FROM ret""")
+def net_return(spark, d):
+    gross = returns(spark, d).withColumnRenamed("ret", "gross").withColumn("turnover", F.lit(0.2))
+    return analytics.net_returns(gross, 7.7).select("symbol", "day", r("net", 8))
+
+
 @query("""WITH b AS (SELECT event_type AS symbol, date_trunc('hour', ts) AS h, arg_min(value, event_id) AS open, max(value) AS high, min(value) AS low, arg_max(value, event_id) AS close, count(*) AS trades
     FROM events GROUP BY ALL) SELECT symbol, strftime(h, '%Y-%m-%d %H:%M:%S') AS hour, open, high, low, close, trades FROM b WHERE h + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 2 HOUR FROM events)""")
 def streaming_bars(spark, d):
