@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import gc
 import os
+import time
 import uuid
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -16,7 +17,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that one numpy pass handles at once; a single longer text forms a pass of its own.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
+#: Rows of an Arrow batch.
+BATCH_ROWS = 1024
+_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Bytes of text hashed at once; longer runs are cut at a separator.
 PIECE_BYTES = 1 << 20
 
@@ -28,7 +32,10 @@ _MASK = (1 << 64) - 1
 
 
 def ship(spark: SparkSession) -> None:
-    """Lets Python workers find this package where it isn't installed but lies at the driver's path."""
+    """Lets Python workers find this package where it isn't installed but lies at the driver's path, and bounds the rows of
+    an Arrow batch, whose memory follows its texts, where the session has Spark's default."""
+    if spark.conf.get(_BATCH_ROWS) == "10000":
+        spark.conf.set(_BATCH_ROWS, str(BATCH_ROWS))
     root = str(Path(__file__).resolve().parents[2])
     held = spark.sparkContext.environment.get("PYTHONPATH", "")
     if root not in held.split(os.pathsep):
@@ -97,9 +104,14 @@ def _drop_all() -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner drop the shuffle files of steps that are over and that no DataFrame needs any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Lets Spark's cleaner drop the shuffle files of steps that are over and that no DataFrame needs any more.
+
+    References die in two steps, those of Python's objects and then those of the plans that they held.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
