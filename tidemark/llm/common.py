@@ -103,6 +103,20 @@ def _drop_all() -> None:
             _delete(path)
 
 
+def share(spark: SparkSession, value):
+    """Broadcasts a value of bounded size under a name of its own, by which workers keep what they build from it."""
+    return spark.sparkContext.broadcast((uuid.uuid4().hex, value))
+
+
+def built(shared, make: Callable, kept: dict):
+    """What ``make`` builds from a shared value, once per worker; ``kept`` holds the last one."""
+    name, value = shared.value
+    if name not in kept:
+        kept.clear()
+        kept[name] = make(value)
+    return kept[name]
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark's cleaner drop the shuffle files of steps that are over and that no DataFrame needs any more.
 

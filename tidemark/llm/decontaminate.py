@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM_LOWER, cut, ship, text_bytes, word_hashes
+from .common import ALNUM_LOWER, built, cut, share, ship, text_bytes, word_hashes
 
 #: Bytes of window text in one automaton. A larger benchmark is dealt over several, each one more pass over the documents.
 AUTOMATON_BYTES = 4 << 20
@@ -27,7 +27,7 @@ OUT = (
 STATE = (("__n_words", "bigint"), ("__runs", "array<bigint>"), ("__items", "array<string>"))
 _SPACED = bytes(int(b) or 32 for b in ALNUM_LOWER)
 
-_built: dict[int, object] = {}
+_built: dict[str, object] = {}
 
 
 def normalised(text: bytes) -> list[bytes]:
@@ -51,14 +51,6 @@ def build(windows: dict[bytes, list[str]]):
     return automaton
 
 
-def _automaton(shared):
-    key = id(shared.value)
-    if key not in _built:
-        _built.clear()
-        _built[key] = build(shared.value)
-    return _built[key]
-
-
 def scan(automaton, words: list[bytes]) -> tuple[np.ndarray, set[str]]:
     """Which words lie in an occurrence of a window, and the items whose windows occur."""
     hit = np.zeros(len(words) + 1, np.int64)
@@ -91,7 +83,7 @@ def _spans(text: bytes, runs: tuple[np.ndarray, np.ndarray]) -> list[dict]:
 
 def _scanned(batches: Iterator[pa.RecordBatch], shared, carried: list[str]) -> Iterator[pa.RecordBatch]:
     """Adds this automaton's hits to those of earlier passes: runs of hit words, and items."""
-    automaton = _automaton(shared)
+    automaton = built(shared, build, _built)
     for batch in batches:
         data, bounds = text_bytes(batch.column("text"))
         raw = data.tobytes()
@@ -160,7 +152,7 @@ def scanned(docs: DataFrame, benchmark: DataFrame, window: int, automaton_bytes:
             for w in item_windows(normalised((text or "").encode()), window):
                 if item_id not in windows.setdefault(w, []):
                     windows[w].append(item_id)
-        shared = spark.sparkContext.broadcast(windows)
+        shared = share(spark, windows)  # at most automaton_bytes
 
         def run(batches, shared=shared):
             return _scanned(batches, shared, carried)

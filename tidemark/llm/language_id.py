@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, hash_sample, mix64, remainder, ship, slices
+from .common import built, cut, hash_sample, mix64, remainder, share, ship, slices
 
 #: Bounds of the training sample by language: texts, their characters, and words by frequency.
 TEXTS, CHARS, WORDS = 400, 60_000, 20_000
@@ -224,21 +224,17 @@ class Scorer:
         return out
 
 
-_built: dict[int, Scorer] = {}
+_built: dict[str, tuple] = {}
 
 
 def _predicted(batches: Iterator[pa.RecordBatch], shared, folds: int, out_fold: int) -> Iterator[pa.RecordBatch]:
-    langs, pieces, probability = shared.value
-    key = id(shared.value)
-    if key not in _built:
-        _built.clear()
-        _built[key] = Scorer(pieces, probability)
+    langs, scorer = built(shared, lambda model: (model[0], Scorer(*model[1:])), _built)
     names = np.array([*langs, UNDETERMINED], object)
     for part in slices(batches):
         texts = part.column("text").to_pylist()
         letters = np.array([bool(t) and any(map(str.isalpha, t)) for t in texts], bool)
         if langs:
-            logs = _built[key](texts)
+            logs = scorer(texts)
             shares = np.exp(logs - logs.max(1, keepdims=True))
             shares /= shares.sum(1, keepdims=True)
             best = np.where(letters, shares.argmax(1), len(langs))
@@ -260,7 +256,7 @@ def identify(docs: DataFrame, model: tuple[list[str], list[str], np.ndarray], fo
     table gives no rows. The prediction sees the text alone.
     """
     ship(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # vocabulary size times languages
+    shared = share(docs.sparkSession, model)  # vocabulary size times languages
 
     def run(batches):
         return _predicted(batches, shared, folds, out_fold)

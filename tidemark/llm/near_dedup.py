@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANK_LOWER, cut, gram_hashes, mix64, ship, signed, slices, text_bytes, word_hashes
+from .common import BLANK_LOWER, cut, gram_hashes, mix64, ship, slices, text_bytes, word_hashes
 from .components import components
 
 #: Registers, their base and rate; and the probability with which a pair at the threshold may share no band.

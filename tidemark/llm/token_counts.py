@@ -20,7 +20,7 @@ from .common import ship, text_bytes
 BATCH_BYTES = 1 << 18
 OUT = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 
-_SAFE = re.compile(r"(?<=\S)(?=\s)")
+_SAFE = re.compile(r"(?<=\S)(?=[ \t\n\r\x0b\x0c])")
 _loaded: dict[str, object] = {}
 
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANK_LOWER, cut, gram_hashes, hash_sample, remainder, ship, signed, slices, text_bytes, word_hashes
+from .common import BLANK_LOWER, built, cut, gram_hashes, hash_sample, remainder, share, ship, signed, slices, text_bytes, word_hashes
 
 #: Bounds of the training sample: confirmed positives, unlabelled texts, and characters of a text that is used for training.
 POSITIVES, UNLABELLED, CHARS = 6_000, 12_000, 60_000
@@ -29,7 +29,7 @@ STEPS, RATE, DECAY = 600, 0.1, 1e-5
 OUT = "doc_id long, held_out boolean, score double, predicted int"
 
 _WORD = re.compile(r"[^\W\d_]+")
-_built: dict[int, tuple] = {}
+_built: dict[str, tuple] = {}
 
 
 def marked(text: str) -> str:
@@ -166,12 +166,7 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5) -> tuple[list[str]
 
 
 def _scores(batches: Iterator[pa.RecordBatch], shared) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
-    key = id(shared.value)
-    if key not in _built:
-        features, weights, bias = shared.value
-        _built.clear()
-        _built[key] = (automaton(features), weights, bias)
-    matcher, weights, bias = _built[key]
+    matcher, weights, bias = built(shared, lambda model: (automaton(model[0]), *model[1:]), _built)
     for part in slices(batches):
         logits = np.full(part.num_rows, bias)
         for row, text in enumerate(part.column("text").to_pylist()):
@@ -196,7 +191,7 @@ def score_toxicity(docs: DataFrame, model: tuple[list[str], np.ndarray, float],
     training data scores about 0; other columns are ignored; an empty table gives no rows. The score sees the text alone.
     """
     ship(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most FEATURES entries
+    shared = share(docs.sparkSession, model)  # at most FEATURES entries
 
     def run(batches):
         return _scored(batches, shared, folds)
@@ -207,7 +202,7 @@ def score_toxicity(docs: DataFrame, model: tuple[list[str], np.ndarray, float],
 def drop_toxic(docs: DataFrame, model: tuple[list[str], np.ndarray, float]) -> DataFrame:
     """The rows of (text, ...) with a score below 0.5, whole and with all their columns; nulls as in ``score_toxicity``."""
     ship(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = share(docs.sparkSession, model)
 
     def run(batches):
         for part, scores in _scores(batches, shared):
