@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from .common import cut, drop
 
 
+#: Rows of a task in the rounds: few edges aren't spread over all the partitions that a large shuffle needs.
+ROWS_A_TASK = 250_000
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node of the edges (a long, b long); component is the least node that it reaches.
 
@@ -19,12 +23,18 @@ def components(edges: DataFrame) -> DataFrame:
     live = cut(
         edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     )
+    parts = max(1, -(-live.count() // ROWS_A_TASK))
+    width = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def kept(df: DataFrame) -> DataFrame:
+        return cut(df.coalesce(parts) if parts < width else df)
+
     moves: list[DataFrame] = []
     while not live.isEmpty():
         salt = F.lit(len(moves))
         both = live.unionByName(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
         near = both.groupBy("a").agg(F.min_by("b", F.xxhash64("b", salt)).alias("b"))
-        move = cut(
+        move = kept(
             near.select(
                 F.col("a").alias("node"),
                 F.when(F.xxhash64("b", salt) < F.xxhash64("a", salt), F.col("b")).otherwise(F.col("a")).alias("to"),
@@ -32,7 +42,7 @@ def components(edges: DataFrame) -> DataFrame:
         )
         moves.append(move)
         ends = live.join(move.toDF("a", "p"), "a").join(move.toDF("b", "q"), "b")
-        left = cut(ends.where("p <> q").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct())
+        left = kept(ends.where("p <> q").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct())
         drop(live)
         live = left
     if not moves:
@@ -41,9 +51,9 @@ def components(edges: DataFrame) -> DataFrame:
     at = moves[0].select("node", F.col("to").alias("root"))
     for move in moves[1:]:
         at = at.join(move.toDF("root", "next"), "root", "left").select("node", F.coalesce("next", "root").alias("root"))
-    at = cut(at)
+    at = kept(at)
     drop(live, *moves)
     least = at.groupBy("root").agg(F.min("node").alias("component"))
-    out = cut(at.join(least, "root").select("node", "component"))
+    out = kept(at.join(least, "root").select("node", "component"))
     drop(at)
     return out
