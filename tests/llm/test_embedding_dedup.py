@@ -68,3 +68,20 @@ def test_edges(spark):
     want = [(i, 0, i, True) for i in (3, 4, 5, 6, 7, 8, 9, 10, 11)] + [(None, 0, None, True), (1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False), (12, 1, 12, True), (13, 1, 12, False)]
     assert got == sorted(want, key=str)
     assert near_vectors(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def clumps(rng, dim, angle, spread, sizes):
+    """Two clumps of distinct near copies whose centres are ``angle`` apart."""
+    a = np.linalg.qr(rng.standard_normal((dim, 2)))[0].T
+    centres = [a[0], np.cos(angle) * a[0] + np.sin(angle) * a[1]]
+    return [(c + spread * rng.standard_normal(dim) / np.sqrt(dim)).tolist() for c, n in zip(centres, sizes, strict=True) for _ in range(n)]
+
+
+def test_links_between_saturated_clumps(spark):
+    rng = np.random.default_rng(7)
+    vectors = clumps(rng, 32, np.arccos(0.98), 0.004, (100, 100)) + rng.standard_normal((100, 32)).tolist()
+    rows = [(i, np.float32(v).tolist(), 0) for i, v in enumerate(vectors)]
+    counts, want = brute(rows, 0.98)
+    assert len({want[i] for i in range(200)}) == 1 and all(counts[i] >= 99 for i in range(200)) and max(counts.values()) > 110
+    got = {r.vec_id: r for r in near_vectors(spark.createDataFrame([(*r, "x") for r in rows], SCHEMA)).collect()}
+    assert [(got[i].n_links, got[i].component_id) for i in range(200)] == [(counts[i], want[i]) for i in range(200)]

@@ -5,7 +5,9 @@
 3. Each round joins the neighbours of a class, both ways, with one another (neighbours of neighbours), if one of the two edges
    is new, and keeps the best of each list. A list whose entries all reach the threshold is saturated and grows.
 4. Threshold edges draw clusters. Inside a cluster all pairs are compared in double precision, in blocks of bounded size, so
-   that link counts are exact there however long the lists would be; only sums leave a task.
+   that link counts are exact there however long the lists would be; only sums leave a task. Clusters of more classes than a
+   list holds may fill one another's lists with nearer entries, so those whose centres and radii allow a link between them
+   are compared with one another in the same way.
 5. An audit compares a bounded sample of vectors with all others of their label. If too few of their links were found,
    descent goes on with longer lists.
 """
@@ -102,8 +104,16 @@ def _grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _local(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
-    """Proposals (node, near, sim) among the members of each task: pairs with a new edge that beat the member's worst entry."""
+def _best(sims: np.ndarray, most: int) -> np.ndarray:
+    """Which entries of each row are among its ``most`` largest."""
+    if sims.shape[1] <= most:
+        return np.ones(sims.shape, bool)
+    return sims >= np.partition(sims, -most, axis=1)[:, -most, None]
+
+
+def _local(batches: Iterator[pa.RecordBatch], most: int, bar: float) -> Iterator[pa.RecordBatch]:
+    """Proposals (node, near, sim) among the members of each task: pairs with a new edge that beat the member's worst entry,
+    the best ``most`` of each member and GROWN times as many that reach the bar."""
     nodes_out, near_out, sims_out = [], [], []
     size = 0
 
@@ -131,9 +141,7 @@ def _local(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBa
         good = (sims > worst[:, None]) & (fresh[:, None] | fresh[None, :])
         np.fill_diagonal(good, False)
         sims = np.where(good, sims, -2.0)
-        if len(nodes) - 1 > most:
-            bar = np.partition(sims, -most, axis=1)[:, -most]
-            good &= sims >= bar[:, None]
+        good &= _best(sims, most) | ((sims >= bar) & _best(sims, GROWN * most))
         i, j = np.nonzero(good)
         if len(i):
             nodes_out.append(nodes[i])
@@ -147,16 +155,16 @@ def _local(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBa
         yield flush()
 
 
-def _run_tasks(rows: DataFrame, most: int) -> DataFrame:
+def _run_tasks(rows: DataFrame, most: int, bar: float) -> DataFrame:
     def run(batches):
-        return _local(batches, most)
+        return _local(batches, most, bar)
 
     width = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ready = rows.select("task", "node", "fresh", "worst", "vector")
     return ready.repartition(width, "task").sortWithinPartitions("task", "node").mapInArrow(run, "node long, near long, sim double")
 
 
-def first_proposals(classes: DataFrame, k: int) -> DataFrame:
+def first_proposals(classes: DataFrame, k: int, bar: float) -> DataFrame:
     """Proposals from blocks of classes that share a hyperplane code's leading bits."""
     sizes = classes.groupBy("space").agg(F.count(F.lit(1)).alias("held"))
     bits = F.least(F.lit(BITS), F.greatest(F.lit(0), F.ceil(F.log2(F.col("held") / (BLOCK / 2))))).cast("long")
@@ -174,12 +182,12 @@ def first_proposals(classes: DataFrame, k: int) -> DataFrame:
     rows = coded.join(counts, ["space", "code", "place"]).select(
         task.alias("task"), "node", F.lit(True).alias("fresh"), F.lit(-1.5).alias("worst"), "vector"
     )
-    return _run_tasks(rows, k)
+    return _run_tasks(rows, k, bar)
 
 
-def next_proposals(graph: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+def next_proposals(graph: DataFrame, vectors: DataFrame, k: int, bar: float) -> DataFrame:
     """Joins the neighbours of each class with one another. Long reverse lists are dealt over several tasks, each with the
-    whole forward list."""
+    whole forward list. A list whose entries all reach the bar takes whatever reaches it until it has grown."""
     live = graph.where("fresh").select(F.explode(F.array("node", "near")).alias("centre")).distinct()
     forward = graph.select(F.col("node").alias("centre"), F.col("near").alias("node"), "fresh")
     backward = graph.select(F.col("near").alias("centre"), "node", "fresh")
@@ -188,28 +196,31 @@ def next_proposals(graph: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     dealt = backward.join(shares, "centre").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
     copied = forward.join(shares, "centre").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     rows = dealt.unionByName(copied).select(F.xxhash64("centre", "part").alias("task"), "node", "fresh")
-    worst = graph.groupBy("node").agg(F.when(F.count(F.lit(1)) >= k, F.min("sim")).otherwise(F.lit(-1.5)).alias("worst"))
-    return _run_tasks(rows.join(vectors.join(worst, "node", "left").withColumn("worst", F.coalesce("worst", F.lit(-1.5))), "node"), k)
+    held, least = F.count(F.lit(1)), F.min("sim")
+    entry = F.when(held < k, F.lit(-1.5)).when((held < GROWN * k) & (least >= bar), F.lit(bar)).otherwise(least)
+    worst = graph.groupBy("node").agg(entry.alias("worst"))
+    return _run_tasks(rows.join(vectors.join(worst, "node", "left").withColumn("worst", F.coalesce("worst", F.lit(-1.5))), "node"), k, bar)
 
 
-def merge(graph: DataFrame | None, proposals: DataFrame, k: int, threshold: float) -> DataFrame:
-    """The best k of each list; of entries that reach the threshold, GROWN times as many."""
+def merge(graph: DataFrame | None, proposals: DataFrame, k: int, bar: float) -> DataFrame:
+    """The best k of each list; of entries that reach the bar, GROWN times as many."""
     found = proposals.select("node", "near", "sim", F.lit(True).alias("fresh"))
     if graph is not None:
         found = found.unionByName(graph.withColumn("fresh", F.lit(False)))
     each = found.groupBy("node", "near").agg(F.max("sim").alias("sim"), F.min("fresh").alias("fresh"))
     rank = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("sim"), "near"))
     ranked = each.withColumn("rank", rank)
-    return ranked.where((F.col("rank") <= k) | ((F.col("sim") >= threshold) & (F.col("rank") <= GROWN * k))).drop("rank")
+    return ranked.where((F.col("rank") <= k) | ((F.col("sim") >= bar) & (F.col("rank") <= GROWN * k))).drop("rank")
 
 
 def descend(graph: DataFrame | None, classes: DataFrame, vectors: DataFrame, k: int, threshold: float, rounds: int) -> DataFrame:
     """The neighbour graph (node, near, sim, fresh) after at most ``rounds`` rounds."""
+    bar = threshold - SLACK
     if graph is None:
-        graph = cut(merge(None, first_proposals(classes, k), k, threshold))
+        graph = cut(merge(None, first_proposals(classes, k, bar), k, bar))
     total = max(1, graph.count())
     for _ in range(rounds):
-        graph = cut(merge(graph, next_proposals(graph, vectors, k), k, threshold))
+        graph = cut(merge(graph, next_proposals(graph, vectors, k, bar), k, bar))
         if graph.where("fresh").count() <= STILL * total:
             break
     return graph
@@ -259,27 +270,85 @@ def _compared(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[p
         )
 
 
-def cluster_links(graph: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
-    """Rows (node, near, links): exact link counts inside the clusters of threshold edges, and edges for the components."""
+def _reached(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The angle of each member with its cluster's centre."""
+    for batch in batches:
+        angles = [
+            np.arccos(np.clip(np.frombuffer(u.as_buffer(), np.float64) @ np.frombuffer(c.as_buffer(), np.float64), -1, 1))
+            for u, c in zip(batch.column("unit"), batch.column("centre"), strict=True)
+        ]
+        yield pa.RecordBatch.from_arrays([batch.column("cluster"), pa.array(angles, pa.float64())], ["cluster", "angle"])
+
+
+def _allowed(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+    """Pairs of clusters whose centres and radii allow a link between members."""
+    for group in _grouped(batches, "task"):
+        side, clusters, radius = (group.column(c).to_numpy() for c in ("side", "cluster", "radius"))
+        centres = np.stack([np.frombuffer(v.as_buffer(), np.float64) for chunk in group.column("centre").chunks for v in chunk])
+        a, b = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+        reach = np.minimum(radius[a][:, None] + radius[b][None, :] + np.arccos(threshold) + SLACK, np.pi)
+        near = centres[a] @ centres[b].T >= np.cos(reach) - 1e-12
+        if (side == 2).any():
+            near = np.triu(near, 1)
+        i, j = np.nonzero(near)
+        yield pa.RecordBatch.from_arrays([pa.array(clusters[a[i]]), pa.array(clusters[b[j]])], ["one", "two"])
+
+
+def _squared(dealt: DataFrame, key: str) -> DataFrame:
+    """Rows of a key (with their block and number of blocks) for the tasks that compare all of its blocks with one another.
+
+    Task (i, j), i < j, holds block i as side 0 and block j as side 1; task (i, i) holds block i as both, side 2."""
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    task = F.xxhash64(key, F.least("block", "other"), F.greatest("block", "other"))
+    side = F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1)
+    return dealt.withColumn("other", other).withColumn("task", task).withColumn("side", side)
+
+
+def _by_task(rows: DataFrame, order: str, run, schema: str) -> DataFrame:
+    width = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(width, "task").sortWithinPartitions("task", "side", order).mapInArrow(run, schema)
+
+
+def near_clusters(members: DataFrame, threshold: float, k: int) -> DataFrame:
+    """Pairs (one, two) of clusters of more than k classes that may hold links with one another, by the triangle inequality of
+    angles: the centre is a member, the radius the largest angle with it."""
+
+    def run(batches):
+        return _allowed(batches, threshold)
+
+    full = members.groupBy("cluster", "space").agg(F.count(F.lit(1)).alias("n"), F.min_by("unit", "node").alias("centre")).where(F.col("n") > k)
+    full = cut(full.select("cluster", "space", "centre"))
+    reached = members.select("cluster", "unit").join(full.select("cluster", "centre"), "cluster").mapInArrow(_reached, "cluster long, angle double")
+    balls = full.join(reached.groupBy("cluster").agg(F.max("angle").alias("radius")), "cluster")
+    sizes = full.groupBy("space").agg(F.ceil(F.count(F.lit(1)) / CLUSTER_BLOCK).cast("long").alias("blocks"))
+    dealt = balls.join(sizes, "space").withColumn("block", F.pmod(F.xxhash64("cluster"), F.col("blocks")))
+    rows = _squared(dealt, "space").select("task", "side", "cluster", "radius", "centre")
+    return cut(_by_task(rows, "cluster", run, "one long, two long"))
+
+
+def cluster_links(graph: DataFrame, classes: DataFrame, threshold: float, k: int) -> DataFrame:
+    """Rows (node, near, links): exact link counts inside the clusters of threshold edges and between those of more than k
+    classes, and edges for the components."""
     clusters = components(graph.where(F.col("sim") >= threshold - SLACK).select(F.col("node").alias("a"), F.col("near").alias("b")))
-    members = classes.join(clusters.withColumnRenamed("component", "cluster"), "node").select("cluster", "node", "unit", "copies")
+    members = classes.join(clusters.withColumnRenamed("component", "cluster"), "node").select("cluster", "space", "node", "unit", "copies")
     sizes = members.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / CLUSTER_BLOCK).cast("long").alias("blocks"))
     dealt = members.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    # Task (i, j), i < j, holds block i as side 0 and block j as side 1; task (i, i) holds block i as both, side 2.
-    rows = dealt.withColumn("other", other).select(
-        F.xxhash64("cluster", F.least("block", "other"), F.greatest("block", "other")).alias("task"),
-        F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1).alias("side"),
-        "node",
-        "copies",
-        "unit",
-    )
+    columns = ["task", "side", "node", "copies", "unit"]
+    rows = _squared(dealt, "cluster").select(columns)
+    pairs = near_clusters(members, threshold, k)
+    if not pairs.isEmpty():
+        pairs = pairs.join(sizes.toDF("one", "ones"), "one").join(sizes.toDF("two", "twos"), "two")
+        # Task (one, two, i, j) holds block i of cluster one as side 0 and block j of cluster two as side 1.
+        for side, cluster, count in ((0, "one", "twos"), (1, "two", "ones")):
+            other = F.explode(F.sequence(F.lit(0).cast("long"), F.col(count) - 1))
+            met = dealt.join(pairs.withColumn("cluster", F.col(cluster)), "cluster").withColumn("other", other)
+            places = ("block", "other") if side == 0 else ("other", "block")
+            rows = rows.unionByName(met.withColumn("task", F.xxhash64("one", "two", *places)).withColumn("side", F.lit(side)).select(columns))
 
     def run(batches):
         return _compared(batches, threshold)
 
-    width = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return cut(rows.repartition(width, "task").sortWithinPartitions("task", "side", "node").mapInArrow(run, "node long, near long, links long"))
+    return cut(_by_task(rows, "node", run, "node long, near long, links long"))
 
 
 def _asked(batches: Iterator[pa.RecordBatch], shared, threshold: float) -> Iterator[pa.RecordBatch]:
@@ -342,7 +411,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, k: int = NEIGHBOUR
     graph, size = None, k
     for attempt in range(TRIES):
         graph = descend(graph, classes, small, size, threshold, ROUNDS)
-        links = cluster_links(graph, classes, threshold)
+        links = cluster_links(graph, classes, threshold, k)
         if attempt + 1 == TRIES or recall(classes, links, threshold) >= RECALL:
             break
         size *= 2
