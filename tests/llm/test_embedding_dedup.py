@@ -85,3 +85,29 @@ def test_links_between_saturated_clumps(spark):
     assert len({want[i] for i in range(200)}) == 1 and all(counts[i] >= 99 for i in range(200)) and max(counts.values()) > 110
     got = {r.vec_id: r for r in near_vectors(spark.createDataFrame([(*r, "x") for r in rows], SCHEMA)).collect()}
     assert [(got[i].n_links, got[i].component_id) for i in range(200)] == [(counts[i], want[i]) for i in range(200)]
+
+
+def groups_and_pairs(seed):
+    """A group of 120, 20 pairs and 40 others of one label; the group's ids come first."""
+    rng = np.random.default_rng(seed)
+    near = lambda n, base: [base + 0.005 * rng.standard_normal(16) for _ in range(n)]
+    vectors = near(120, rng.standard_normal(16)) + [v for _ in range(20) for v in near(2, rng.standard_normal(16))]
+    return [(i, np.float32(v).tolist(), 0) for i, v in enumerate([*vectors, *rng.standard_normal((40, 16))])]
+
+
+def test_audit_sees_lost_pairs(spark, monkeypatch):
+    real, calls = embedding_dedup.descend, []
+
+    def descend(graph, classes, *more):
+        calls.append(1)
+        if len(calls) > 1:
+            return real(None, classes, *more)
+        group = classes.where("least < 120").select("node")
+        return group.crossJoin(group.toDF("near")).where("node <> near").selectExpr("node", "near", "1.0D as sim", "true as fresh")
+
+    monkeypatch.setattr(embedding_dedup, "descend", descend)
+    rows = groups_and_pairs(3)
+    counts, want = brute(rows, 0.98)
+    got = near_vectors(spark.createDataFrame([(*r, "x") for r in rows], SCHEMA)).collect()
+    assert sum(counts.values()) == 120 * 119 + 20 * 2
+    assert all((r.n_links, r.component_id) == (counts[r.vec_id], want[r.vec_id]) for r in got)

@@ -8,8 +8,8 @@
    that link counts are exact there however long the lists would be; only sums leave a task. Clusters of more classes than a
    list holds may fill one another's lists with nearer entries, so those whose centres and radii allow a link between them
    are compared with one another in the same way.
-5. An audit compares a bounded sample of vectors with all others of their label. If too few of their links were found,
-   descent goes on with longer lists.
+5. An audit compares vectors with all others of their label, by label and number of links found. Where too few linked vectors
+   have all their links, descent goes on with longer lists.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, hash_sample, ship
+from .common import cut, ship
 from .components import components
 
 #: Length of a neighbour list, of a saturated one as a multiple, most rounds, and the share of new edges that ends descent.
@@ -30,8 +30,9 @@ NEIGHBOURS, GROWN, ROUNDS, STILL = 8, 4, 5, 0.005
 CODES, BITS, BLOCK = 4, 24, 128
 #: Classes in one side of a verification task.
 CLUSTER_BLOCK = 1024
-#: Audited vectors, the recall they need, and how often descent may go on.
-AUDIT, RECALL, TRIES = 256, 0.995, 3
+#: Linked vectors that the audit expects to meet by label and group size, the share of them that needs all its links, and how
+#: often descent may go on.
+AUDIT, RECALL, TRIES = 1024, 0.995, 3
 #: Single precision is trusted this far below the threshold while candidates are drawn.
 SLACK = 1e-4
 
@@ -351,42 +352,54 @@ def cluster_links(graph: DataFrame, classes: DataFrame, threshold: float, k: int
     return cut(_by_task(rows, "node", run, "node long, near long, links long"))
 
 
-def _asked(batches: Iterator[pa.RecordBatch], shared, threshold: float) -> Iterator[pa.RecordBatch]:
-    """True links of the audited classes with the classes scanned."""
-    queries: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    by_space: dict[int, list] = {}
-    for node, space, unit in shared.value:
-        by_space.setdefault(space, []).append((node, np.frombuffer(unit, np.float64)))
-    for space, held in by_space.items():
-        queries[space] = (np.array([n for n, _ in held]), np.stack([u for _, u in held]))
-    for batch in batches:
-        spaces, nodes = batch.column("space").to_numpy(), batch.column("node").to_numpy()
-        found: dict[int, int] = {}
-        for space in np.unique(spaces):
-            if int(space) not in queries:
-                continue
-            rows = np.flatnonzero(spaces == space)
-            names, units = queries[int(space)]
-            block = np.stack([np.frombuffer(batch.column("unit")[int(r)].as_buffer(), np.float64) for r in rows])
-            linked = (block @ units.T >= threshold) & (nodes[rows][:, None] != names[None, :])
-            for name, n in zip(names.tolist(), (batch.column("copies").to_numpy()[rows] @ linked).tolist(), strict=True):
-                if n:
-                    found[name] = found.get(name, 0) + n
-        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.int64())], ["node", "links"])
-
-
-def recall(classes: DataFrame, links: DataFrame, threshold: float, most: int = AUDIT) -> float:
-    """Found over true links of a bounded sample of classes, each compared with all classes of its label."""
-    asked = hash_sample(classes.select("node", "space", "unit"), "node", most, "audit").collect()
-    shared = classes.sparkSession.sparkContext.broadcast([(r["node"], r["space"], bytes(r["unit"])) for r in asked])
+def _asked(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+    """Per task: true links of the audited classes (side 0) with the classes of a block (side 1)."""
+    for group in _grouped(batches, "task"):
+        side, nodes = group.column("side").to_numpy(), group.column("node").to_numpy()
+        units = np.stack([np.frombuffer(v.as_buffer(), np.float64) for chunk in group.column("unit").chunks for v in chunk])
+        a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        linked = (units[a] @ units[b].T >= threshold) & (nodes[a][:, None] != nodes[b][None, :])
+        sums = linked @ group.column("copies").to_numpy()[b]
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[a][sums > 0]), pa.array(sums[sums > 0])], ["node", "links"])
 
-    def run(batches):
-        return _asked(batches, shared, threshold)
 
-    true = classes.select("space", "node", "unit", "copies").mapInArrow(run, "node long, links long").groupBy("node").agg(F.sum("links").alias("n"))
+def audit(classes: DataFrame, links: DataFrame, threshold: float) -> DataFrame:
+    """Labels (space, held) of which too few linked classes have all their links.
+
+    A label's share is estimated from classes drawn by the number of links found for them, in powers of two, AUDIT of each.
+    Of those without any, which may have lost them all, as many are drawn as hold AUDIT linked ones if these are as frequent
+    as among the linked; all of a label in which no links were found. Each is compared with its whole label.
+    """
     counted = links.where("near is null").groupBy("node").agg(F.sum("links").alias("found"))
-    row = true.join(counted, "node", "left").agg(F.sum("n").alias("n"), F.sum("found").alias("found")).first()
-    return (row["found"] or 0) / row["n"] if row["n"] else 1.0
+    state = classes.join(counted, "node", "left").withColumn("found", F.coalesce("found", F.lit(0)))
+    state = cut(state.withColumn("group", F.floor(F.log2(F.col("found") + 1))).select("space", "node", "unit", "found", "group"))
+    strata = state.groupBy("space", "group").agg(F.count(F.lit(1)).alias("size"))
+    spaces = strata.groupBy("space").agg(F.sum("size").alias("held"), F.coalesce(F.sum(F.when(F.col("group") > 0, F.col("size"))), F.lit(0)).alias("known"))
+    spaces = cut(spaces.withColumn("blocks", F.ceil(F.col("held") / CLUSTER_BLOCK).cast("long")))
+    met = F.when(F.col("group") > 0, F.col("size")).otherwise(F.greatest("known", F.lit(1)))
+    rates = strata.join(spaces, "space").select("space", "group", F.when(F.col("known") == 0, 1.0).otherwise(F.least(F.lit(1.0), AUDIT / met)).alias("rate"))
+    place = F.pmod(F.xxhash64("node", F.lit("audit")), F.lit(1 << 30)) / (1 << 30)
+    asked = cut(state.join(rates, ["space", "group"]).where(place < F.col("rate")).select("space", "node", "unit", "found", "rate"))
+    parts = cut(asked.groupBy("space").agg(F.ceil(F.count(F.lit(1)) / CLUSTER_BLOCK).cast("long").alias("parts")).join(spaces.select("space", "blocks"), "space"))
+    # Task (i, j) of a label holds part i of the audited classes and block j of all.
+    mine, other = F.pmod(F.xxhash64("node"), F.col("parts")), F.pmod(F.xxhash64("node"), F.col("blocks"))
+    questions = asked.join(parts, "space").select(
+        "space", "node", "unit", F.lit(0).cast("long").alias("copies"), F.lit(0).alias("side"), mine.alias("i"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("j"),
+    )
+    answers = classes.join(parts, "space").select(
+        "space", "node", "unit", "copies", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("i"),
+        other.alias("j"),
+    )
+    rows = questions.unionByName(answers).select(F.xxhash64("space", "i", "j").alias("task"), "side", "node", "copies", "unit")
+
+    def run(batches):
+        return _asked(batches, threshold)
+
+    true = _by_task(rows, "node", run, "node long, links long").groupBy("node").agg(F.sum("links").alias("n"))
+    whole = F.when(F.col("found") >= F.col("n"), 1 / F.col("rate")).otherwise(0.0)
+    shares = asked.join(true, "node").groupBy("space").agg((F.sum(whole) / F.sum(1 / F.col("rate"))).alias("share"))
+    return cut(shares.where(F.col("share") < RECALL).join(spaces, "space").select("space", "held"))
 
 
 def near_vectors(vectors: DataFrame, threshold: float = 0.98, k: int = NEIGHBOURS) -> DataFrame:
@@ -412,7 +425,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, k: int = NEIGHBOUR
     for attempt in range(TRIES):
         graph = descend(graph, classes, small, size, threshold, ROUNDS)
         links = cluster_links(graph, classes, threshold, k)
-        if attempt + 1 == TRIES or recall(classes, links, threshold) >= RECALL:
+        if attempt + 1 == TRIES or audit(classes, links, threshold).isEmpty():
             break
         size *= 2
         graph = graph.withColumn("fresh", F.lit(True))
