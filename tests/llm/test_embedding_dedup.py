@@ -111,3 +111,17 @@ def test_audit_sees_lost_pairs(spark, monkeypatch):
     got = near_vectors(spark.createDataFrame([(*r, "x") for r in rows], SCHEMA)).collect()
     assert sum(counts.values()) == 120 * 119 + 20 * 2
     assert all((r.n_links, r.component_id) == (counts[r.vec_id], want[r.vec_id]) for r in got)
+
+
+def test_last_attempt_is_audited(spark, monkeypatch):
+    """A descent that never finds anything; every label is compared whole in the end."""
+
+    def descend(graph, classes, *more):
+        return embedding_dedup.cut(classes.selectExpr("node", "node as near", "1.0D as sim", "true as fresh").limit(0))
+
+    monkeypatch.setattr(embedding_dedup, "descend", descend)
+    monkeypatch.setattr(embedding_dedup, "WHOLE", 0, raising=False)
+    rows = groups_and_pairs(4)
+    counts, want = brute(rows, 0.98)
+    got = near_vectors(spark.createDataFrame([(*r, "x") for r in rows], SCHEMA)).collect()
+    assert all((r.n_links, r.component_id) == (counts[r.vec_id], want[r.vec_id]) for r in got)

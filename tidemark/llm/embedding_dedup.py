@@ -9,12 +9,13 @@
    list holds may fill one another's lists with nearer entries, so those whose centres and radii allow a link between them
    are compared with one another in the same way.
 5. An audit compares vectors with all others of their label, by label and number of links found. Where too few linked vectors
-   have all their links, descent goes on with longer lists.
+   have all their links, descent goes on with longer lists; labels that still fall short, or are small, are compared whole.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,8 @@ CLUSTER_BLOCK = 1024
 #: Linked vectors that the audit expects to meet by label and group size, the share of them that needs all its links, and how
 #: often descent may go on.
 AUDIT, RECALL, TRIES = 1024, 0.995, 3
+#: Classes of the largest label for which a whole comparison costs less than further descent.
+WHOLE = 16 * CLUSTER_BLOCK
 #: Single precision is trusted this far below the threshold while candidates are drawn.
 SLACK = 1e-4
 
@@ -352,6 +355,18 @@ def cluster_links(graph: DataFrame, classes: DataFrame, threshold: float, k: int
     return cut(_by_task(rows, "node", run, "node long, near long, links long"))
 
 
+def whole_links(classes: DataFrame, threshold: float) -> DataFrame:
+    """Rows (node, near, links) as of ``cluster_links``, by comparing all classes of each label in blocks."""
+    sizes = classes.groupBy("space").agg(F.ceil(F.count(F.lit(1)) / CLUSTER_BLOCK).cast("long").alias("blocks"))
+    dealt = classes.join(sizes, "space").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+
+    def run(batches):
+        return _compared(batches, threshold)
+
+    rows = _squared(dealt, "space").select("task", "side", "node", "copies", "unit")
+    return cut(_by_task(rows, "node", run, "node long, near long, links long"))
+
+
 def _asked(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
     """Per task: true links of the audited classes (side 0) with the classes of a block (side 1)."""
     for group in _grouped(batches, "task"):
@@ -421,14 +436,22 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, k: int = NEIGHBOUR
     ready = units.where(usable).select("vec_id", space.alias("space"), F.xxhash64("label", "unit").alias("node"), "unit")
     classes = cut(ready.groupBy("space", "node", "unit").agg(F.count(F.lit(1)).alias("copies"), F.min("vec_id").alias("least")))
     small = cut(classes.select("node", "unit").mapInArrow(_singles, "node long, vector binary"))
-    graph, size = None, k
+    graph, size, todo, done = None, k, classes, []
     for attempt in range(TRIES):
-        graph = descend(graph, classes, small, size, threshold, ROUNDS)
-        links = cluster_links(graph, classes, threshold, k)
-        if attempt + 1 == TRIES or audit(classes, links, threshold).isEmpty():
+        graph = descend(graph, todo, small, size, threshold, ROUNDS)
+        links = cluster_links(graph, todo, threshold, k)
+        short = audit(todo, links, threshold)
+        if short.isEmpty():
+            done.append(links)
+            break
+        todo = cut(todo.join(short.select("space"), "space", "left_semi"))
+        done.append(links.join(todo.select("node"), "node", "left_anti"))
+        if attempt + 1 == TRIES or short.where(F.col("held") > WHOLE).isEmpty():
+            done.append(whole_links(todo, threshold))
             break
         size *= 2
-        graph = graph.withColumn("fresh", F.lit(True))
+        graph = cut(graph.join(todo.select("node"), "node", "left_semi").withColumn("fresh", F.lit(True)))
+    links = reduce(DataFrame.unionByName, done)
     groups = components(links.where("near is not null").select(F.col("node").alias("a"), F.col("near").alias("b")))
     counts = links.where("near is null").groupBy("node").agg(F.sum("links").alias("links"))
     owned = classes.join(groups, "node", "left").select("node", "copies", "least", F.coalesce("component", "node").alias("component"))
