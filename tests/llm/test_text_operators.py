@@ -200,6 +200,16 @@ def test_language_edges(spark):
 # Toxicity
 
 
+def test_language_of_long_texts_only(spark):
+    pieces = language_id.vocabulary(queries._vocabulary("piece_bpe_32k.model"))
+    long = "der hund und die katze " * 3000
+    docs = spark.createDataFrame([(0, "the cat and the dog", "en", "", ""), (4, long, "de", "", ""), (8, None, "fr", "", "")], DOCS)
+    model = language_id.train(docs, pieces)
+    assert model[0] == ["de", "en"]
+    asked = spark.createDataFrame([(51, "der die und", None, None, None), (52, "THE AND", None, None, None)], DOCS)
+    assert {r.doc_id: r.lang_pred for r in language_id.identify(asked, model).collect()} == {51: "de", 52: "en"}
+
+
 def test_toxicity_held_out(spark):
     rows = {r.doc_id: r for r in queries.op8_toxicity(spark, "/root/testdata/sf0.1").collect()}
     labels = [(r.toxic, rows[r.doc_id]) for r in spark.read.parquet("/root/testdata/sf0.1/labels.parquet").collect()]

@@ -149,13 +149,18 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(docs: DataFrame, pieces: list[str], folds: int = 4, out_fold: int = 2) -> tuple[list[str], list[str], np.ndarray]:
-    """Languages, pieces and log-free probabilities [piece + 1, language] from the bounded sample of training documents."""
+    """Languages, pieces and log-free probabilities [piece + 1, language] from the bounded sample of training documents.
+
+    A language without a text of at most CHARS characters is learned from whole longer ones; one without any text isn't learned.
+    """
     allowed = docs.where(
-        F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & (F.length("text") <= CHARS) & (remainder("doc_id", folds) != out_fold)
+        F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & (remainder("doc_id", folds) != out_fold)
     )
-    langs = [r["lang"] for r in allowed.groupBy("lang").count().orderBy("lang").collect()]
+    least = {r["lang"]: r["least"] for r in allowed.groupBy("lang").agg(F.min(F.length("text")).alias("least")).orderBy("lang").collect()}
+    langs = list(least)
     if not langs:
         return [], pieces, np.zeros((len(pieces) + 1, 0))
+    allowed = allowed.where((F.length("text") <= CHARS) | F.col("lang").isin([lang for lang in langs if least[lang] > CHARS]))
     ids = allowed.select("doc_id", "lang")
     chosen = hash_sample(ids.where(F.col("lang") == langs[0]), "doc_id", TEXTS, "l")
     for lang in langs[1:]:
