@@ -29,11 +29,18 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (5-word shingles, similarity 0.8) the document of least doc_id stays."""
+    """Of each group of near duplicates (5-word shingles, similarity 0.8) the document of least doc_id stays, and
+    of rows that share doc_id and text one."""
     judged = near_dedup.near_duplicates(docs, k=5, share=(4, 5))
     gone = cut(judged.where("not kept").select("doc_id").distinct())
     few = gone.count() <= near_dedup.BROADCAST_KEYS
-    return docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*docs.columns)
+    left = docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*docs.columns)
+    twice = cut(docs.where("doc_id is not null and text is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    if twice.isEmpty():
+        return left
+    repeated = left.join(twice, "doc_id", "left_semi").select(*docs.columns)
+    once = repeated.where("text is not null").dropDuplicates(["doc_id", "text"])
+    return left.join(twice, "doc_id", "left_anti").select(*docs.columns).unionByName(repeated.where("text is null")).unionByName(once)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -67,3 +67,10 @@ def test_run_and_edges(spark):
             assert out.columns == odd.columns, name
         mixed = corpus_pipeline.STAGES[-1][1](spark, out, SIZE)
         assert mixed.count() == out.count()
+
+
+def test_repeated_rows_go_once(spark):
+    text = "one two three four five six seven"
+    rows = [(1, text), (1, text), (1, "eight nine ten eleven twelve thirteen"), (2, text), (None, text), (None, text), (3, None), (3, None)]
+    out = corpus_pipeline.dedup_near(spark, spark.createDataFrame(rows, "doc_id long, text string"), SIZE)
+    assert sorted(map(tuple, out.collect()), key=str) == sorted([*rows[1:3], *rows[4:]], key=str)
