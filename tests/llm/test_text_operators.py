@@ -65,13 +65,26 @@ def test_tokens_of_whole_texts(spark):
 # Mixing
 
 
-def test_mix_meets_targets(spark):
+def numeric_time(share, knots):
+    """The time at which the schedule's integral, added up over many small steps, reaches the share."""
+    grid = np.linspace(0, 1, 200_001)
+    weight = np.interp(grid, [t for t, _ in knots], [w for _, w in knots])
+    area = np.concatenate(([0], np.cumsum((weight[1:] + weight[:-1]) / 2)))
+    return np.interp(share, area / area[-1], grid)
+
+
+def mixed_rows():
     rng = random.Random(1)
     rows = [(k, "w " * rng.randint(0, 60), None, rng.choice(["a", "b", "c", "d", "é", None]), None) for k in range(400)]
     rows += [(1000 + k, "w " * 5, None, "tiny", None) for k in range(3)] + [(5, "w w", None, "a", None)] * 2
+    return rows + [(None, "w " * k, None, "b", None) for k in range(30)] + [(None, "w", None, "b", None)] * 3
+
+
+def test_mix_meets_targets(spark):
+    rows = mixed_rows()
     mix = mixing.mix_sources(spark.createDataFrame(rows, DOCS))
     got = mix.collect()
-    assert len(got) == len(rows) and mix.columns[-6:] == ["size", "source_size", "target", "taken", "position", "copies"]
+    assert len(got) == len(rows) and mix.columns[-5:] == ["size", "source_size", "target", "taken", "copies"]
     sizes, taken, target = {}, {}, {}
     for r in got:
         assert 0 <= r.taken <= 3 * r.size and r.taken == sum(c.words for c in r.copies)
@@ -95,16 +108,51 @@ def test_mix_meets_targets(spark):
     for s in order:
         assert target[s] == pytest.approx(want[s]) and taken[s] == round(target[s])
     assert sorted(map(str, mix.collect())) == sorted(map(str, got))
-    ordered = mixing.training_order(mix, 3).withColumn("p", F.spark_partition_id()).select("p", "position").collect()
+
+
+def test_training_order_by_brute_force(spark):
+    """Streams built copy by copy, positions by numeric integration, then one sort."""
+    rows = mixed_rows()
+    mix = mixing.mix_sources(spark.createDataFrame(rows, DOCS))
+    target = {r.source: round(r.target) for r in mix.collect()}
+    order = sorted((s for s in target if s is not None)) + [None]
+    digest = lambda t: hashlib.md5(t.encode()).hexdigest()
+    want = []
+    for rank, source in enumerate(order):
+        stream = sorted((digest(f"mix:{'' if i is None else i}:{digest(t)}"), i, len(t.split())) for i, t, _, s, _ in rows if s == source)
+        at, epoch, taken = 0, 0, [0] * len(stream)
+        while at < target[source]:
+            for k, (_, i, n) in enumerate(stream):
+                words = min(n, target[source] - at)
+                if words > 0:
+                    want.append((numeric_time(at / target[source], mixing.CURRICULUM[rank % 3]), source, i, epoch, words))
+                    taken[k] += words
+                at += n
+            epoch += 1
+        want += [(None, source, i, None, 0) for k, (_, i, n) in enumerate(stream) if not taken[k]]
+    ordered = mixing.training_order(mix, 3).withColumn("p", F.spark_partition_id()).collect()
+    key = lambda r: (r[0] is None, r[0] or 0, r[1] or "", -1 if r[2] is None else r[2], r[3] or 0, r[4])
+    got = [(r.position, r.source, r.doc_id, r.epoch, r.words) for r in ordered]
+    assert len(got) == len(want)
+    for a, b in zip(sorted(got, key=lambda r: key(r)[2:]), sorted(want, key=lambda r: key(r)[2:]), strict=True):
+        assert a[1:] == b[1:] and (a[0] is None) == (b[0] is None) and (a[0] is None or a[0] == pytest.approx(b[0], abs=1e-4))
     places = [(r.p, 2 if r.position is None else r.position) for r in ordered]
-    assert places == sorted(places)
+    assert places == sorted(places) and len({p for p, _ in places}) == 3
+    # Both kinds of source deliver the same share of their words in the end, but not half-way.
+    early = {s: sum(r[4] for r in got if r[1] == s and r[0] is not None and r[0] < 0.5) / target[s] for s in ("a", "b", "c")}
+    assert early["a"] == pytest.approx(2 / 3, abs=0.05) and early["b"] == pytest.approx(1 / 2, abs=0.05) and early["c"] == pytest.approx(1 / 3, abs=0.05)
 
 
 def test_positions_follow_the_schedule(spark):
     shares = spark.createDataFrame([(k / 50,) for k in range(51)], "s double")
-    for start, end in ((1.5, 0.5), (1.0, 1.0), (0.5, 1.5)):
-        for r in shares.select("s", mixing.inverse_demand(F.col("s"), F.lit(start), F.lit(end)).alias("t")).collect():
-            assert start * r.t + (end - start) * r.t**2 / 2 == pytest.approx(r.s, abs=1e-12)
+    for knots in (*mixing.CURRICULUM, ((0.0, 0.0), (0.3, 0.0), (0.6, 2.0), (1.0, 0.0)), ((0.0, 3.0), (1.0, 3.0))):
+        for r in shares.select("s", mixing.inverse_demand(F.col("s"), knots).alias("t")).collect():
+            if 0 < r.s < 1:
+                assert r.t == pytest.approx(numeric_time(r.s, knots), abs=1e-4)
+            assert 0 <= r.t <= 1
+    for bad in (((0.0, 1.0), (0.5, 1.0)), ((0.0, 0.0), (1.0, 0.0)), ((0.0, 1.0), (1.0, -1.0))):
+        with pytest.raises(ValueError):
+            mixing.integral(bad)
 
 
 def test_mix_edges(spark):
@@ -112,6 +160,11 @@ def test_mix_edges(spark):
     assert got[0].taken == got[1].taken == got[2].taken == 0 and got[5]["size"] == 60_000
     assert mixing.mix_sources(nothing(spark)).count() == 0
     assert mixing.mix_sources(edge_docs(spark).where("doc_id < 3")).agg(F.sum("taken")).first()[0] == 0
+    clash = edge_docs(spark).withColumns({c: F.lit("x") for c in ("size", "Taken", "copies", "position", "__z", "__at", "__key", "epoch", "a.b`c")})
+    mix = mixing.mix_sources(clash)
+    assert mix.columns == [*clash.columns, "size_", "source_size", "target", "taken_", "copies_"]
+    rows = mixing.training_order(mix, 2).collect()
+    assert {r["size"] for r in rows} == {r["a.b`c"] for r in rows} == {"x"} and sum(r.words for r in rows) == sum(r.taken_ for r in mix.collect())
 
 
 # Chat formatting

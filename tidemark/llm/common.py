@@ -13,7 +13,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that one numpy pass handles at once; a single longer text forms a pass of its own.
@@ -33,8 +33,8 @@ _MASK = (1 << 64) - 1
 
 def ship(spark: SparkSession) -> None:
     """Lets Python workers find this package where it isn't installed but lies at the driver's path, and bounds the rows of
-    an Arrow batch, whose memory follows its texts, where the session has Spark's default."""
-    if spark.conf.get(_BATCH_ROWS) == "10000":
+    an Arrow batch, whose memory follows its texts, where neither the user nor the cluster has set them."""
+    if not spark._jsparkSession.sessionState().conf().contains(_BATCH_ROWS):
         spark.conf.set(_BATCH_ROWS, str(BATCH_ROWS))
     root = str(Path(__file__).resolve().parents[2])
     held = spark.sparkContext.environment.get("PYTHONPATH", "")
@@ -42,6 +42,26 @@ def ship(spark: SparkSession) -> None:
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, (root, held)))
 
 
+def quoted(name: str) -> str:
+    """A column's name as an expression, whatever characters it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def columns(names: list[str]) -> list[Column]:
+    return [F.col(quoted(name)) for name in names]
+
+
+def free(taken: list[str], *names: str) -> list[str]:
+    """The names, each with as many underscores behind it as set it apart from ``taken``, in any case of letters."""
+    held, out = {t.lower() for t in taken}, []
+    for name in names:
+        while name.lower() in held:
+            name += "_"
+        held.add(name.lower())
+        out.append(name)
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table; the path may belong to any store that Spark reads."""
     ship(spark)
@@ -51,15 +71,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """This session's folder below the one that the cluster names in ``spark.checkpoint.dir``.
 
-    Only a local session without that setting gets a folder below its warehouse.
+    Only a session whose tasks run in its own process gets a folder below its warehouse without that setting; on a cluster
+    the setting is needed.
     """
     context = spark.sparkContext
     held = context._jsc.sc().getCheckpointDir()
     if held.isEmpty():
-        where = context.getConf().get("spark.checkpoint.dir") or (
-            spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
-        )
-        context.setCheckpointDir(where)
+        where = context.getConf().get("spark.checkpoint.dir")
+        if not where and not context._jsc.sc().isLocal():
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(where or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
         held = context._jsc.sc().getCheckpointDir()
     return held.get()
 
@@ -128,6 +149,42 @@ def release(spark: SparkSession) -> None:
         time.sleep(0.3)
 
 
+#: Rows from which a key may count as hot; beyond, one whose rows are more than 1 in 2**HOT_BITS of all.
+HOT_ROWS, HOT_BITS = 10_000, 16
+
+
+def join_hot(rows: DataFrame, keys: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """The inner join of ``total`` rows with a written table of one row a key, whose column ``n`` counts the key's rows.
+
+    Hot keys, at most 2**HOT_BITS since each has more than that part of all rows, are broadcast, so that their rows stay
+    where they are; the others meet by shuffle.
+    """
+    bar = max(HOT_ROWS, total >> HOT_BITS)
+    hot = keys.where(F.col(n) > bar)
+    if hot.isEmpty():
+        return rows.join(keys, key)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(keys.where(F.col(n) <= bar), key)
+    return rows.join(F.broadcast(hot), key).unionByName(rest)
+
+
+def grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """Runs of rows of one key."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        keys = batch.column(key).to_numpy()
+        if not len(keys):
+            continue
+        edges = np.flatnonzero(keys[1:] != keys[:-1]) + 1
+        starts, ends = [0, *edges.tolist()], [*edges.tolist(), len(keys)]
+        for a, b in zip(starts, ends, strict=True):
+            if held and held[0].column(key)[0].as_py() != keys[a]:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes and the row bounds (rows + 1) of an Arrow string column; a null row is empty."""
     if isinstance(column, pa.ChunkedArray):

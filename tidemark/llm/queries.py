@@ -39,7 +39,16 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = mixing.mix_sources(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
-    return mix.select("doc_id", "size", "source_size", "target", "taken")
+    return mix.select(
+        "doc_id",
+        "size",
+        "source_size",
+        "target",
+        "taken",
+        F.size("copies").cast("long").alias("n_copies"),
+        F.get("copies", F.lit(0))["position"].alias("first_position"),
+        F.get("copies", F.size("copies") - 1)["position"].alias("last_position"),
+    )
 
 
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,22 +127,41 @@ ORACLE_SQL = {
     "op5_mix_sources": """
         WITH d AS (
             SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
-                   md5('mix:' || coalesce(doc_id::VARCHAR, '')) AS h, text FROM documents),
+                   md5('mix:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))) AS h FROM documents),
         s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
-        w AS (SELECT *, [1.0::DOUBLE, 2.0::DOUBLE, 3.0::DOUBLE][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS weight FROM s),
-        r AS (SELECT *, source_size * 3 / weight AS ratio FROM w),
+        w AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS kind FROM s),
+        r AS (SELECT *, [1.0::DOUBLE, 2.0::DOUBLE, 3.0::DOUBLE][1 + kind] AS weight, source_size * 3 / weight AS ratio FROM w),
         l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(source_size * 3) OVER b, 0))
                         / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0)) AS level
               FROM r WINDOW b AS (ORDER BY ratio, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
         f AS (SELECT max(level) AS final FROM l WHERE level <= ratio),
-        t AS (SELECT source, source_size, CASE WHEN ratio < final THEN (source_size * 3)::DOUBLE ELSE final * weight END AS target FROM l, f),
-        p AS (SELECT d.*, t.source_size, t.target, round(t.target)::BIGINT AS demand,
-                     coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
-              FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+        t AS (SELECT source, source_size, kind, CASE WHEN ratio < final THEN (source_size * 3)::DOUBLE ELSE final * weight END AS target FROM l, f),
+        p AS (SELECT d.*, t.source_size, t.kind, t.target, round(t.target)::BIGINT AS demand,
+                     coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY h ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
+              FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+        -- Copy e of a document stands e * source_size + before words into its source's stream, which ends at the demand.
+        e AS (SELECT *, CASE WHEN size > 0 AND before < demand THEN (demand - 1 - before) // source_size + 1 ELSE 0 END AS n_copies FROM p),
+        -- The schedules run through weights 2, 1, 0.5 (integral 0.75 + 0.375), 1, 1 (integral 1), and 0.5, 1, 2 (integral 0.375 + 0.75) at equal times.
+        a AS (SELECT *, [1.125::DOUBLE, 1.0::DOUBLE, 1.125::DOUBLE][1 + kind] AS whole,
+                     least(1.0::DOUBLE, before / greatest(demand, 1)) * whole AS x,
+                     least(1.0::DOUBLE, ((n_copies - 1) * source_size + before) / greatest(demand, 1)) * whole AS y FROM e)
         SELECT doc_id, size, source_size, target,
                CASE WHEN source_size = 0 THEN 0 ELSE (demand // source_size) * size
-                    + greatest(0, least(size, demand % source_size - before)) END::BIGINT AS taken
-        FROM p""",
+                    + greatest(0, least(size, demand % source_size - before)) END::BIGINT AS taken,
+               n_copies::BIGINT AS n_copies,
+               CASE WHEN n_copies = 0 THEN NULL ELSE least(1.0::DOUBLE, CASE
+                    WHEN kind = 0 AND x < 0.75 THEN 2 * x / (2.0::DOUBLE + sqrt(greatest(0, 4.0::DOUBLE - 4.0::DOUBLE * x)))
+                    WHEN kind = 0 THEN 0.5::DOUBLE + 2 * (x - 0.75::DOUBLE) / (1.0::DOUBLE + sqrt(greatest(0, 1.0::DOUBLE - 2.0::DOUBLE * (x - 0.75::DOUBLE))))
+                    WHEN kind = 1 THEN 2 * x / (1.0::DOUBLE + sqrt(1.0::DOUBLE))
+                    WHEN x < 0.375 THEN 2 * x / (0.5::DOUBLE + sqrt(greatest(0, 0.25::DOUBLE + 2.0::DOUBLE * x)))
+                    ELSE 0.5::DOUBLE + 2 * (x - 0.375::DOUBLE) / (1.0::DOUBLE + sqrt(greatest(0, 1.0::DOUBLE + 4.0::DOUBLE * (x - 0.375::DOUBLE)))) END) END AS first_position,
+               CASE WHEN n_copies = 0 THEN NULL ELSE least(1.0::DOUBLE, CASE
+                    WHEN kind = 0 AND y < 0.75 THEN 2 * y / (2.0::DOUBLE + sqrt(greatest(0, 4.0::DOUBLE - 4.0::DOUBLE * y)))
+                    WHEN kind = 0 THEN 0.5::DOUBLE + 2 * (y - 0.75::DOUBLE) / (1.0::DOUBLE + sqrt(greatest(0, 1.0::DOUBLE - 2.0::DOUBLE * (y - 0.75::DOUBLE))))
+                    WHEN kind = 1 THEN 2 * y / (1.0::DOUBLE + sqrt(1.0::DOUBLE))
+                    WHEN y < 0.375 THEN 2 * y / (0.5::DOUBLE + sqrt(greatest(0, 0.25::DOUBLE + 2.0::DOUBLE * y)))
+                    ELSE 0.5::DOUBLE + 2 * (y - 0.375::DOUBLE) / (1.0::DOUBLE + sqrt(greatest(0, 1.0::DOUBLE + 4.0::DOUBLE * (y - 0.375::DOUBLE)))) END) END AS last_position
+        FROM a""",
     "op6_chat_format": r"""
         WITH c AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
