@@ -77,11 +77,47 @@ def test_against_brute_force(spark):
     compare(spark, corpus(random.Random(2), 6, 10, 20), 5, (4, 5))
 
 
-def test_large_clusters_in_blocks(spark, monkeypatch):
+def test_large_buckets_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "BLOCK", 7)
     compare(spark, corpus(random.Random(3), 4, 60, 10), 3, (17, 20))
 
 
+def section_corpus(rng, n, shared, pool, own, copies=30):
+    """Texts of shared sections and ``own`` ones of a pool, hardly any linked, and a group of near copies."""
+    section = lambda: [f"s{rng.randrange(10**6)}" for _ in range(40)]
+    common, more = [section() for _ in range(shared)], [section() for _ in range(pool)]
+    rows = [(i, " ".join(w for part in [*common, *rng.sample(more, own)] for w in part)) for i in range(n)]
+    base = [w for part in [*common, *(section() for _ in range(own))] for w in part]
+    for i in range(n, n + copies):
+        words = list(base)
+        words[rng.randrange(len(words))] = "edit"
+        rows.append((i, " ".join(words)))
+    return rows
+
+
+def test_large_buckets_are_split(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", 7)
+    monkeypatch.setattr(near_dedup, "OUTSIDE", 1)
+    calls = []
+    real = near_dedup.bucket_tasks
+
+    def bucket_tasks(rows, classes, share, splits=True):
+        calls.append(splits)
+        return real(rows, classes, share, splits)
+
+    monkeypatch.setattr(near_dedup, "bucket_tasks", bucket_tasks)
+    want = compare(spark, section_corpus(random.Random(5), 90, 7, 1000, 1), 5, (4, 5))
+    assert False in calls and len(set(want.values())) < len(want) - 25
+
+
+def test_hot_buckets_are_broadcast(spark, monkeypatch):
+    from tidemark.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", 5)
+    monkeypatch.setattr(common, "HOT_BITS", 60)
+    compare(spark, corpus(random.Random(6), 3, 40, 10), 3, (17, 20))
+
+
 def test_edges(spark):
     text = "One two three four five six"
     rows = [(5, text, None), (5, text, "again"), (3, text.upper(), None), (None, text, None), (8, None, None), (9, " \n", None), (10, "one two", None), (2, "ONE\ttwo", None), (11, "one two x" + "y z " * 40_000, None)]
