@@ -1,5 +1,6 @@
 import hashlib
 import json
+import math
 import random
 import re
 import zlib
@@ -49,7 +50,7 @@ def test_tokens_of_whole_texts(spark):
     path = public_tokenizers.path("byte_bpe_50k.json")
     plain = Tokenizer.from_file(path)
     rng = random.Random(0)
-    parts = ["it's", " ", "  ", "\n\n", "<|endoftext|>", "é", "12", "!!", "\u3000", "x" * 50, "\r\n", "'ll", " <|endoftext|> ", "\x1c", "\x85"]
+    parts = ["it's", " ", "  ", "\n\n", "<|endoftext|>", "é", "12", "!!", "\u3000", "x" * 50, "\r\n", "'ll", " <|endoftext|> ", "\x1c", "\x85", "文字", "。", "ключ", "²", "٣", "a1b2", "'s", "'", "|>", "x'"]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 400))) for _ in range(60)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     for size in (7, 1 << 18):
@@ -57,6 +58,9 @@ def test_tokens_of_whole_texts(spark):
         for k, t in enumerate(texts):
             n = len(plain.encode(t, add_special_tokens=False).ids)
             assert (got[k].n_tokens, got[k].n_bytes, got[k].over_limit) == (n, len(t.encode()), n > 1024)
+    parts = token_counts.safe_parts("文字、" * 1000 + "ab12" * 1000 + "<|endoftext|>", 64, ["<|endoftext|>"])
+    assert max(len(p.encode()) for p in parts) < 80 and "".join(parts).endswith("<|endoftext|>") and parts[-1].endswith("<|endoftext|>")
+    assert token_counts.safe_parts("<|endoftext|>" * 9, 8, ["<|endoftext|>"])[0] == "<|endoftext|>" * 9
     rows = token_counts.token_counts(edge_docs(spark), path).collect()
     assert len(rows) == len(EDGE_TEXTS) + 2 and {(r.n_bytes, r.n_tokens) for r in rows if r.doc_id in (0, 1)} == {(0, 0)}
     assert token_counts.token_counts(nothing(spark), path).count() == 0
@@ -208,24 +212,75 @@ def test_chats_read_back(spark):
 # Language identification
 
 
+def segmentations(word, pieces):
+    """Every way to cut a word into pieces and characters: lists of piece numbers, None for a character of no piece."""
+    if not word:
+        return [[]]
+    out = [[None, *rest] for rest in segmentations(word[1:], pieces)]
+    for k, p in enumerate(pieces):
+        if word.startswith(p):
+            out += [[k, *rest] for rest in segmentations(word[len(p) :], pieces)]
+    return out
+
+
+def weighed(way, probability):
+    return math.prod(language_id.UNKNOWN if k is None else probability[k] for k in way)
+
+
+PIECES = sorted({" a", "a", "b", "ab", "ba", " ab", "abb", "é", "bbabb"})
+
+
 def test_forward_sums_all_segmentations():
-    pieces = sorted({" a", "a", "b", "ab", "ba", " ab", "abb", "é"})
     rng = np.random.default_rng(0)
-    probability = np.append(rng.random(len(pieces)), 0.0)[:, None]
-    finder = language_id.Pieces(pieces)
+    probability = np.append(rng.random(len(PIECES)), 0.0)[:, None]
+    finder = language_id.Pieces(PIECES)
     words = [" ab", " abba", "b", " éab", " xab", " abbabb"]
-
-    def total(w):
-        if not w:
-            return 1.0
-        out = language_id.UNKNOWN * total(w[1:])
-        return out + sum(probability[k, 0] * total(w[len(p) :]) for k, p in enumerate(pieces) if w.startswith(p))
-
+    want = [math.log(sum(weighed(way, probability[:, 0]) for way in segmentations(w, PIECES))) for w in words]
     lattice, lengths = finder.lattice(words)
     got = language_id.forward(lattice, probability)[np.arange(len(words)), lengths, 0]
-    assert got == pytest.approx([total(w) for w in words])
-    counts = language_id.expected(lattice[3:4], lengths[3:4], np.array([2.0]), probability[:, 0])
-    assert counts[pieces.index("é")] == pytest.approx(2.0, rel=1e-5)
+    assert got == pytest.approx(want)
+    assert [language_id.forward_long(finder, w, probability)[0] for w in words] == pytest.approx(want)
+    long = " " + "".join(rng.choice(["a", "b", "é", "x"], 3000))
+    lattice, lengths = finder.lattice([long])
+    assert language_id.forward_long(finder, long, probability)[0] == pytest.approx(language_id.forward(lattice, probability)[0, -1, 0], rel=1e-9)
+    lattice, lengths = finder.lattice(words)
+    counts = language_id.expected(lattice, lengths, np.arange(1.0, 7.0), probability[:, 0])
+    for k in range(len(PIECES)):
+        share = sum(n * sum(way.count(k) * weighed(way, probability[:, 0]) for way in segmentations(w, PIECES)) / math.exp(t) for n, (w, t) in enumerate(zip(words, want, strict=True), 1))
+        assert counts[k] == pytest.approx(share, rel=1e-9, abs=1e-12)
+
+
+def test_languages_by_brute_force(spark):
+    """Training and prediction over enumerated segmentations, on whole tables of short texts."""
+    rng = random.Random(4)
+    make = lambda letters: " ".join("".join(rng.choice(letters) for _ in range(rng.randint(1, 6))) for _ in range(rng.randint(1, 8)))
+    rows = [(i, make("aab" if i % 2 else "abbé"), "one" if i % 2 else "two", "s", "x") for i in range(60)]
+    rows += [(100, None, "one", "s", "x"), (101, "12 !", "two", "s", "x"), (102, "a" * 9, None, "s", "x")]
+    fold = lambda i: zlib.crc32(str(i).encode()) % 4
+    words = lambda t: re.findall(r"[^\W\d_]+", (t or "").lower())
+    model = {}
+    for lang in ("one", "two"):
+        p = [1 / len(PIECES)] * len(PIECES)
+        for _ in range(language_id.ROUNDS):
+            found = [language_id.SMOOTH] * len(PIECES)
+            for i, t, x, *_ in rows:
+                for w in words(t) if x == lang and fold(i) != 2 else ():
+                    ways = segmentations(" " + w, PIECES)
+                    total = sum(weighed(way, p) for way in ways)
+                    for way in ways:
+                        for k in way:
+                            if k is not None:
+                                found[k] += weighed(way, p) / total
+            p = [f / sum(found) for f in found]
+        model[lang] = p
+    docs = spark.createDataFrame(rows, DOCS)
+    got = {r.doc_id: r for r in language_id.identify(docs, language_id.train(docs, PIECES)).collect()}
+    assert len(got) == len(rows)
+    for i, t, *_ in rows:
+        logs = [sum(math.log(sum(weighed(way, model[x]) for way in segmentations(" " + w, PIECES))) for w in words(t)) for x in ("one", "two")]
+        shares = [math.exp(x - max(logs)) for x in logs]
+        want = ("und", 0.0) if not words(t) else (("one", "two")[logs.index(max(logs))], max(shares) / sum(shares))
+        assert got[i].lang_pred == want[0] and got[i].score == pytest.approx(want[1], rel=1e-6) and got[i].held_out == (fold(i) == 2)
 
 
 def test_languages_held_out(spark):
@@ -272,6 +327,23 @@ def test_toxicity_held_out(spark):
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows.values())
 
 
+def test_toxicity_by_brute_force(spark):
+    """Scores of the query against features counted one by one in the normalised texts."""
+    rows = queries.op8_toxicity(spark, "/root/testdata/sf0.01").collect()
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    features, weights, bias = toxicity.train(docs, labels)
+    assert features and len({r.predicted for r in rows}) == 2
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    levels = len(toxicity.LEVELS)
+    for r in rows:
+        words = " " + " ".join(re.findall(r"[^\W\d_]+", (texts[r.doc_id] or "").lower())) + " "
+        logit = bias
+        for k, gram in enumerate(features):
+            n = sum(words.startswith(gram, at) for at in range(len(words))) if gram in words else 0
+            logit += sum(weights[k * levels + j] for j, least in enumerate(toxicity.LEVELS) if n >= least)
+        assert r.score == pytest.approx(1 / (1 + math.exp(-logit)), rel=1e-9) and r.predicted == (r.score >= 0.5)
+
+
 def test_unlabelled_toxic_texts_dont_count_as_negatives():
     rng = random.Random(3)
     rows = [(True, [0]) for _ in range(200)] + [(False, [0] if rng.random() < 0.2 else [4]) for _ in range(1000)]
@@ -348,19 +420,48 @@ def test_url_rules(spark):
         return (m[1].translate(LOWER), m[2]) if m else ("", "")
 
     rules = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
+    def grams(mark, text):
+        held = f"{mark}{text}$"
+        return [held[k : k + n] for n in url_filter.GRAMS for k in range(len(held) - n + 1)]
+
+    pieces = {g for host, path in map(split, urls) for g in [*grams("^", host), *grams("~", path)]}
+    place = {r.g: r.b for r in spark.createDataFrame([(g,) for g in pieces], "g string").select("g", F.pmod(F.xxhash64("g"), F.lit(url_filter.BUCKETS)).alias("b")).collect()}
     for r in got:
         url = urls[r.page_id] if r.page_id is not None else urls[3]
         host, path = split(url)
         fits = [x for x in rules if (host == x.partition("/")[0] or host.endswith("." + x.partition("/")[0])) and path.startswith("/" + x.partition("/")[2])]
         best = max(fits, key=len, default=None)
-        assert (r.host, r.path, r.rule) == (host, path, best) and r.verdict == (rules[best] if best else "block" if r.score >= 0.5 else "allow")
-    assert got[-3].verdict == "block" if got[-3].page_id == 16 else True
+        logit = intercept + sum(weights[b] for b in {place[g] for g in [*grams("^", host), *grams("~", path)]})
+        assert r.score == pytest.approx(1 / (1 + math.exp(-logit)), rel=1e-9)
+        assert (r.host, r.path, r.rule) == (host, path, best) and r.verdict == (rules[best] if best else "block" if logit >= 0 else "allow")
+    assert {r.verdict for r in got if r.rule is None} == {"allow", "block"}
     assert url_filter.filter_urls(pages.limit(0), weights, intercept).count() == 0
     assert url_filter.train(url_filter.labelled_urls(spark).where("label = 1"))[1] == 0.0
     plan = judged._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
 
 
+#: Hosts without a name in common with the labelled table.
+UNSEEN_BLOCKED = "mega-baccarat keno-online craps-tables wager-kings herbal-remedy muscle-powder fat-burner erotic-stories strip-dance dating-tonight toolbar-install traffic-exchange link-exchange debt-relief forex-signals wire-transfer password-reset trojan-loader cheat-codes counterfeit-money".split()
+UNSEEN_ALLOWED = "geology cathedral pottery swimming grammar orchard fishing opera bridge philosophy kindergarten boulangerie panaderia stadtplan zoologie medicine parliament knitting sailing chess".split()
+
+
+def test_unseen_hosts(spark):
+    table = (url_filter.BLOCKED + url_filter.ALLOWED).lower()
+    names = {n for h in UNSEEN_BLOCKED + UNSEEN_ALLOWED for n in h.split("-")}
+    assert not names & set(re.findall("[a-z]+", table)), names & set(re.findall("[a-z]+", table))
+    pages = spark.read.parquet(f"{SIZE}/pages.parquet")
+    hosts = {re.sub(r"^(www|blog|m)\.", "", r.h).split(".")[0] for r in pages.select(url_filter.host(F.col("url")).alias("h")).collect()}
+    assert not {h for h in hosts if h and h in table}
+    weights, intercept = url_filter.train(url_filter.labelled_urls(spark))
+    rows = [(k, f"{scheme}://{sub}{h}.example.{top}/{path}", int(h in UNSEEN_BLOCKED)) for k, h in enumerate(UNSEEN_BLOCKED + UNSEEN_ALLOWED) for scheme, sub, top, path in (("http", "", "com", "fr/7"), ("https", "blog.", "org", "en/12.html"), ("https", "www.", "com", "x?q=1"))]
+    asked = spark.createDataFrame(rows, "page_id long, url string, y int")
+    got = url_filter.filter_urls(asked, weights, intercept, rules=()).join(asked.select("page_id", "y").distinct(), "page_id").collect()
+    caught = sum(r.verdict == "block" for r in got if r.y) / sum(r.y for r in got)
+    false = sum(r.verdict == "block" for r in got if not r.y)
+    assert caught > 0.8 and false == 0, (caught, false)
+
+
 def test_regression_matches_numpy(spark):
     labelled = url_filter.labelled_urls(spark)
     weights, intercept = url_filter.train(labelled)

@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import os
-import time
 import uuid
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -13,13 +11,14 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Text bytes that one numpy pass handles at once; a single longer text forms a pass of its own.
 SLICE_BYTES = 1 << 20
 #: Rows of an Arrow batch.
 BATCH_ROWS = 1024
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Bytes of text hashed at once; longer runs are cut at a separator.
 PIECE_BYTES = 1 << 20
@@ -51,6 +50,12 @@ def columns(names: list[str]) -> list[Column]:
     return [F.col(quoted(name)) for name in names]
 
 
+def plain(df: DataFrame) -> DataFrame:
+    """The same columns, where names hold dots or backticks under others, since ``mapInArrow`` can't address those."""
+    odd = [c for c in df.columns if "." in c or "`" in c]
+    return df.toDF(*(free(df.columns, f"__c{k}")[0] if c in odd else c for k, c in enumerate(df.columns))) if odd else df
+
+
 def free(taken: list[str], *names: str) -> list[str]:
     """The names, each with as many underscores behind it as set it apart from ``taken``, in any case of letters."""
     held, out = {t.lower() for t in taken}, []
@@ -89,12 +94,21 @@ def cut(df: DataFrame) -> DataFrame:
     """Cuts lineage by a table in the shared folder, so that a lost executor costs no recomputation from the start.
 
     Unlike a checkpointed plan, a table read anew carries no constraints along, which would multiply over the rounds of an
-    iteration, and its columns and filters are pruned and pushed down. ``drop`` deletes it; the rest goes with the session.
+    iteration, and its columns and filters are pruned and pushed down. The shuffle files of the write, which nothing reads
+    again, go at its end. ``drop`` deletes the table; the rest goes with the session.
     """
     spark = df.sparkSession
     ship(spark)
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
     if not _tables:
         atexit.register(_drop_all)
     _tables[path] = spark
@@ -138,17 +152,6 @@ def built(shared, make: Callable, kept: dict):
     return kept[name]
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner drop the shuffle files of steps that are over and that no DataFrame needs any more.
-
-    References die in two steps, those of Python's objects and then those of the plans that they held.
-    """
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.3)
-
-
 #: Rows from which a key may count as hot; beyond, one whose rows are more than 1 in 2**HOT_BITS of all.
 HOT_ROWS, HOT_BITS = 10_000, 16
 
@@ -373,6 +376,20 @@ def hash_sample(rows: DataFrame, key: str, most: int, seed: str) -> DataFrame:
     return rows.orderBy(order, key).limit(most)
 
 
+def group_samples(rows: DataFrame, group: str, most: int, seed: str, *key: str) -> DataFrame:
+    """At most ``most`` rows of each of a few groups, those whose key hashes highest, alike in every run.
+
+    One pass counts the groups; a second takes the rows below each group's threshold, about 1.5 times as many as are kept,
+    and only these are ranked.
+    """
+    counts = rows.groupBy(group).count().collect()
+    bars = [(r[group], -(2**63) if r["count"] <= 2 * most else int(2**63 - 2**64 * min(1.0, 1.5 * most / r["count"]))) for r in counts]
+    bars = rows.sparkSession.createDataFrame(bars, f"{group} {rows.schema[group].dataType.simpleString()}, __bar long")
+    held = rows.withColumn("__order", F.xxhash64(F.lit(seed), *key)).join(F.broadcast(bars), group).where("__order >= __bar")
+    rank = F.row_number().over(Window.partitionBy(group).orderBy(F.desc("__order"), *key))
+    return held.withColumn("__rank", rank).where(F.col("__rank") <= most).select(*rows.columns)
+
+
 def remainder(key: str, of: int):
     """crc32 of the key as text, modulo ``of``."""
     return F.crc32(F.col(key).cast("string").cast("binary")) % of

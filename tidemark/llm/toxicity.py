@@ -17,10 +17,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANK_LOWER, built, cut, gram_hashes, hash_sample, remainder, share, ship, signed, slices, text_bytes, word_hashes
+from .common import BLANK_LOWER, built, cut, gram_hashes, hash_sample, plain, remainder, share, ship, signed, slices, text_bytes, word_hashes
 
-#: Bounds of the training sample: confirmed positives, unlabelled texts, and characters of a text that is used for training.
-POSITIVES, UNLABELLED, CHARS = 6_000, 12_000, 60_000
+#: Bounds of the training sample: confirmed positives and unlabelled texts, both taken whole.
+POSITIVES, UNLABELLED = 6_000, 12_000
 #: Lengths of the word beginnings, blank included, and the counts from which each has a level; bound of the selected features, and what a feature needs: positive texts, G statistic, and the
 #: part of the largest possible lift, 1 / prior.
 GRAMS, LEVELS, FEATURES, LEAST, SIGNAL, LIFT = (5, 6, 7, 8), (1, 2, 4, 8), 3_000, 3, 20.0, 0.5
@@ -54,10 +54,12 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def training_sample(docs: DataFrame, labels: DataFrame, folds: int = 5) -> tuple[DataFrame, float]:
     """(positive, text, words) of the bounded sample, and the class prior; held-out documents give neither text nor label.
 
+    The sample is drawn from the ids; only its texts are read then, and those that are null drop out.
+
     The prior is the share of toxic among all labelled training documents. Of texts that share a min-hash one stays, so that
     a large group of copies counts once.
     """
-    allowed = docs.where(F.col("doc_id").isNotNull() & (F.length("text") <= CHARS) & (remainder("doc_id", folds) != 0))
+    allowed = docs.where(F.col("doc_id").isNotNull() & (remainder("doc_id", folds) != 0))
     marks = labels.where(F.col("toxic").isNotNull() & (remainder("doc_id", folds) != 0)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     ship(docs.sparkSession)
     prior = marks.agg(F.avg((F.col("toxic") == 1).cast("double"))).first()[0] or 0.0
@@ -65,7 +67,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, folds: int = 5) -> tuple
     toxic = hash_sample(ids.join(marks.where("toxic = 1"), "doc_id", "left_semi"), "doc_id", POSITIVES, "p")
     other = hash_sample(ids, "doc_id", UNLABELLED, "u")
     chosen = cut(toxic.withColumn("positive", F.lit(True)).unionByName(other.withColumn("positive", F.lit(False))))
-    picked = allowed.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # bounded by the sample's parameters
+    picked = allowed.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id")  # bounded by the sample's parameters
     read = picked.mapInArrow(_words, "doc_id long, positive boolean, text string, words array<string>, copies long")
     firsts = read.groupBy("positive", "copies").agg(F.min_by(F.struct("text", "words"), F.struct("doc_id", "text")).alias("kept"))
     return cut(firsts.select("positive", "kept.text", "kept.words")), float(prior)
@@ -208,4 +210,4 @@ def drop_toxic(docs: DataFrame, model: tuple[list[str], np.ndarray, float]) -> D
         for part, scores in _scores(batches, shared):
             yield part.filter(pa.array(scores < 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return plain(docs).mapInArrow(run, docs.schema)
