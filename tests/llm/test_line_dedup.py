@@ -68,7 +68,7 @@ def test_against_brute_force(spark):
         want = expected[r.doc_id, source[r.doc_id]]
         assert WORD.findall(r.text) == want, r.doc_id
         n = len(WORD.findall(source[r.doc_id]))
-        assert (r["__n_words"], r["__n_removed"]) == (n, n - len(want))
+        assert (r.n_words, r.n_removed) == (n, n - len(want))
         if n == len(want):
             assert r.text == source[r.doc_id]
         else:
@@ -87,6 +87,24 @@ def test_edges(spark):
     assert dedup_lines(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_clashing_columns(spark):
+    names = ("n_words", "N_removed", "part", "later", "own", "mixed", "at", "reach", "least", "full", "__part", "__later", "__own", "__n_words", "a.b`c")
+    rows = [(1, "a " * 60), (1, "a " * 60), (2, "b " * 3), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("x") for c in names})
+    got = dedup_lines(docs)
+    assert got.columns == [*docs.columns, "n_words_", "n_removed_"]
+    assert sorted((str(r.doc_id), r.text, r.n_removed_) for r in got.collect() if r.text) == [("1", "a " * 50, 10), ("1", "a " * 50, 10), ("2", "b " * 3, 0)]
+    assert all(r[c] == "x" for r in got.collect() for c in names)
+
+
+def test_repeated_rows_cost_their_number(spark):
+    """Rows that share doc_id and text count once on the way to their repeats."""
+    text = " ".join(f"w{k}" for k in range(400)) + " " + " ".join(f"w{k}" for k in range(100))
+    docs = spark.range(3000).select(F.lit(7).cast("long").alias("doc_id"), F.lit(text).alias("text"))
+    got = dedup_lines(docs).groupBy("n_removed", F.length("text")).count().collect()
+    assert [tuple(r) for r in got] == [(100, len(text) - len(" ".join(f"w{k}" for k in range(100))) - 1, 3000)]
+
+
 def test_hot_passage(spark):
     passage = " ".join(f"p{k}" for k in range(55))
     docs = spark.range(400).select(

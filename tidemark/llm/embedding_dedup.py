@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, ship
+from .common import cut, grouped, ship
 from .components import components
 
 #: Length of a neighbour list, of a saturated one as a multiple, most rounds, and the share of new edges that ends descent.
@@ -90,24 +90,6 @@ def _coded(batches: Iterator[pa.RecordBatch], codes: int) -> Iterator[pa.RecordB
             )
 
 
-def _grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
-    """Runs of rows of one key."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        keys = batch.column(key).to_numpy()
-        if not len(keys):
-            continue
-        edges = np.flatnonzero(keys[1:] != keys[:-1]) + 1
-        starts, ends = [0, *edges.tolist()], [*edges.tolist(), len(keys)]
-        for a, b in zip(starts, ends, strict=True):
-            if held and held[0].column(key)[0].as_py() != keys[a]:
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(batch.slice(a, b - a))
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def _best(sims: np.ndarray, most: int) -> np.ndarray:
     """Which entries of each row are among its ``most`` largest."""
     if sims.shape[1] <= most:
@@ -130,7 +112,7 @@ def _local(batches: Iterator[pa.RecordBatch], most: int, bar: float) -> Iterator
         sims_out.clear()
         return out
 
-    for group in _grouped(batches, "task"):
+    for group in grouped(batches, "task"):
         nodes, first = np.unique(group.column("node").to_numpy(), return_index=True)
         if len(nodes) < 2:
             continue
@@ -244,7 +226,7 @@ def _labels(linked: np.ndarray) -> np.ndarray:
 
 def _compared(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
     """Per task: link counts (near null) and enough edges for the components (links 0)."""
-    for group in _grouped(batches, "task"):
+    for group in grouped(batches, "task"):
         side, nodes = group.column("side").to_numpy(), group.column("node").to_numpy()
         copies = group.column("copies").to_numpy()
         units = np.stack([np.frombuffer(v.as_buffer(), np.float64) for chunk in group.column("unit").chunks for v in chunk])
@@ -286,7 +268,7 @@ def _reached(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _allowed(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
     """Pairs of clusters whose centres and radii allow a link between members."""
-    for group in _grouped(batches, "task"):
+    for group in grouped(batches, "task"):
         side, clusters, radius = (group.column(c).to_numpy() for c in ("side", "cluster", "radius"))
         centres = np.stack([np.frombuffer(v.as_buffer(), np.float64) for chunk in group.column("centre").chunks for v in chunk])
         a, b = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
@@ -369,7 +351,7 @@ def whole_links(classes: DataFrame, threshold: float) -> DataFrame:
 
 def _asked(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
     """Per task: true links of the audited classes (side 0) with the classes of a block (side 1)."""
-    for group in _grouped(batches, "task"):
+    for group in grouped(batches, "task"):
         side, nodes = group.column("side").to_numpy(), group.column("node").to_numpy()
         units = np.stack([np.frombuffer(v.as_buffer(), np.float64) for chunk in group.column("unit").chunks for v in chunk])
         a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)

@@ -1,7 +1,7 @@
 """Line dedup by winnowing: later copies of any run of ``run`` words that occurs earlier in the corpus are deleted.
 
-Shared passages start and end inside lines, so the hashed lines are the word k-grams at every offset rather than the text
-between line breaks. The steps:
+Shared passages start and end inside lines and often hold one line break or none, so the hashed lines are the word k-grams at
+every offset rather than the text between line breaks, whose hashes would miss such passages. The steps:
 
 1. Winnow. The k-gram of least hash in each window of ``run`` words is that window's anchor, so that equal windows have
    equal anchors: a shared run can't be missed. One row per anchor, about 2 in ``run - k + 2`` words, carries the k-gram's
@@ -22,16 +22,20 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import (
     BLANK_CASED,
+    columns,
     cut,
     drop,
+    free,
     gram_hashes,
+    join_hot,
     mix64,
+    plain,
     powers,
     reach,
-    release,
     ship,
     signed,
     slices,
@@ -42,9 +46,10 @@ from .common import (
 
 #: Least words of a deleted run, and words of the winnowed grams.
 RUN, GRAM = 50, 20
-#: An anchor's place in one long: 22 bits of the text's hash, 28 of the word's place, 6 each of the reach to both sides, and
-#: whether its hash occurs again in the same run of rows (a window: text, place and that mark).
-TEXT_BITS, PLACE_BITS, REACH_BITS = 22, 28, 6
+#: An anchor's place in one long: 20 bits of the text's hash, 30 of the word's place, 6 each of the reach to both sides, and
+#: whether its hash occurs again in the same run of rows (a window: text, place and that mark). A text of 2**31 bytes, Spark's
+#: most, holds at most 2**30 words. The text's hash only tells texts of one doc_id apart.
+TEXT_BITS, PLACE_BITS, REACH_BITS = 20, 30, 6
 PLACE_AT = 2 * REACH_BITS + 1
 TEXT_AT = PLACE_AT + PLACE_BITS
 
@@ -97,7 +102,7 @@ def _anchors(batches: Iterator[pa.RecordBatch], run: int, gram: int) -> Iterator
         before, after = p - s1, p - s2
         extent = _run_hash(_prefix(words), s1, s2 + run, (before << REACH_BITS) | after)
         local = p - _row_first(rows, part.num_rows)[row]
-        at = (part.column("__t").to_numpy()[row] << TEXT_AT) | (local << PLACE_AT) | (before << REACH_BITS + 1) | (after << 1)
+        at = (part.column("part").to_numpy()[row] << TEXT_AT) | (local << PLACE_AT) | (before << REACH_BITS + 1) | (after << 1)
         at |= _again(grams[p])
         yield pa.RecordBatch.from_arrays(
             [pa.array(signed(grams[p])), pa.array(signed(extent)), part.column("doc_id").take(pa.array(row)), pa.array(at)],
@@ -110,7 +115,7 @@ def _windows(batches: Iterator[pa.RecordBatch], run: int) -> Iterator[pa.RecordB
     for part in slices(batches):
         words, _, _, rows = word_hashes(*text_bytes(part.column("text")), BLANK_CASED)
         first = _row_first(rows, part.num_rows)
-        lists = part.column("__mixed")
+        lists = part.column("mixed")
         sizes = np.diff(lists.offsets.to_numpy())
         at = lists.flatten().to_numpy()
         row = np.repeat(np.arange(part.num_rows), sizes)
@@ -124,7 +129,7 @@ def _windows(batches: Iterator[pa.RecordBatch], run: int) -> Iterator[pa.RecordB
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array(signed(hashes)), part.column("doc_id").take(pa.array(row)),
-                pa.array((part.column("__t").to_numpy()[row] << TEXT_AT) | ((s - first[row]) << PLACE_AT) | _again(hashes)),
+                pa.array((part.column("part").to_numpy()[row] << TEXT_AT) | ((s - first[row]) << PLACE_AT) | _again(hashes)),
             ],
             ["hash", "doc_id", "at"],
         )
@@ -149,8 +154,8 @@ def later_words(n: int, later: np.ndarray, own: np.ndarray, hashes: np.ndarray,
         own_end = at + count - 1 + run
         start = np.concatenate((start, np.where(at == home, own_end, np.maximum(at, home + run))))
         end = np.concatenate((end, own_end))
-    np.add.at(edge, start, 1)
-    np.add.at(edge, end, -1)
+    np.add.at(edge, np.minimum(start, n), 1)
+    np.add.at(edge, np.minimum(end, n), -1)
     return np.cumsum(edge)[:-1] > 0
 
 
@@ -165,13 +170,13 @@ def cut_words(text: bytes, starts: np.ndarray, ends: np.ndarray, gone: np.ndarra
     return b"" if gone.all() else out
 
 
-def _cleaned(batches: Iterator[pa.RecordBatch], run: int, names: list[str]) -> Iterator[pa.RecordBatch]:
+def _cleaned(batches: Iterator[pa.RecordBatch], run: int, names: list[str], more: list[str]) -> Iterator[pa.RecordBatch]:
     for part in slices(batches):
         data, bounds = text_bytes(part.column("text"))
         starts, ends, rows = word_bounds(data, bounds, BLANK_CASED)
         first = np.searchsorted(rows, np.arange(part.num_rows + 1))
         raw = data.tobytes()
-        later, own = part.column("__later"), part.column("__own")
+        later, own = (part.column(c) for c in more[:2])
         spots, mine = later.flatten().to_numpy(), own.flatten()
         hashes, own_spots = mine.field("hash").to_numpy(), mine.field("spot").to_numpy()
         bounds_of = lambda x: np.concatenate(([0], np.cumsum(x.value_lengths().fill_null(0).to_numpy().astype(np.int64))))
@@ -186,35 +191,50 @@ def _cleaned(batches: Iterator[pa.RecordBatch], run: int, names: list[str]) -> I
                 removed[row] = gone.sum()
                 base = bounds[row]
                 texts[row] = cut_words(raw[base : bounds[row + 1]], starts[a:b] - base, ends[a:b] - base, gone).decode()
-        columns = [part.column(c) for c in names]
+        columns = [part.column(k) for k in range(len(names))]
         if texts:
             at = names.index("text")
             changed = np.zeros(part.num_rows, bool)
             changed[list(texts)] = True
             columns[at] = pc.replace_with_mask(columns[at], pa.array(changed), pa.array(texts.values(), columns[at].type))
         yield pa.RecordBatch.from_arrays(
-            [*columns, pa.array(np.diff(first), pa.int64()), pa.array(removed)], [*names, "__n_words", "__n_removed"]
+            [*columns, pa.array(np.diff(first), pa.int64()), pa.array(removed)], [*names, *more[2:]]
         )
 
 
 def _repeated(found: DataFrame, *more) -> DataFrame:
-    """The hashes that occur more than once, and the least doc_id that each occurs in."""
-    return found.groupBy("hash").agg(F.count(F.lit(1)).alias("__n"), F.min("doc_id").alias("least"), *more).where("__n > 1").drop("__n")
+    """The hashes that occur more than once, how often, and the least doc_id that each occurs in."""
+    return found.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least"), *more).where("n > 1")
+
+
+def _once(rows: DataFrame) -> DataFrame:
+    """One of each group of rows (doc_id, text, part) that share doc_id and text."""
+    keyed = rows.withColumn("full", F.xxhash64("text"))
+    twice = cut(keyed.groupBy("doc_id", "full").count().where("count > 1").select("doc_id", "full"))
+    if twice.isEmpty():
+        return rows
+    first = keyed.join(twice, ["doc_id", "full"], "left_semi").groupBy("doc_id", "full", "part").agg(F.first("text").alias("text"))
+    names = ("doc_id", "text", "part")
+    return keyed.join(twice, ["doc_id", "full"], "left_anti").select(*names).unionByName(first.select(*names))
 
 
 def dedup_lines(docs: DataFrame, run: int = RUN, gram: int = GRAM) -> DataFrame:
-    """All rows of (doc_id long, text, ...) with later runs cut from ``text``, plus __n_words (before) and __n_removed.
+    """All rows of (doc_id long, text, ...) with later runs cut from ``text``, plus n_words (before) and n_removed, last.
 
     A run is ``run`` or more consecutive words (between white space; line breaks count as white space) that also occur at
     an earlier place: a lesser doc_id, or earlier in the same text. Texts without such runs stay byte for byte. A text all
     of whose words go becomes empty. A null text stays null; rows without doc_id are returned as they are; rows that share
-    a doc_id are one document, so that nothing is cut between them; all columns stay. An empty table gives no rows.
+    a doc_id are one document, so that nothing is cut between them, and those that share the text, too, are cut alike; all
+    columns stay, and where one is named as a new one, the new one gets an underscore behind its name. An empty table gives
+    no rows.
     """
     assert gram < run and run - gram < 1 << REACH_BITS
     ship(docs.sparkSession)
     names = docs.columns
-    keyed = docs.withColumn("__t", F.xxhash64("text").bitwiseAND((1 << TEXT_BITS) - 1))
+    n_words, n_removed, part, later_name, own_name = free(names, "n_words", "n_removed", "__part", "__later", "__own")
+    keyed = docs.withColumn(part, F.xxhash64("text").bitwiseAND((1 << TEXT_BITS) - 1))
     known = keyed.where("doc_id is not null")
+    texts = _once(known.where("text is not null").select("doc_id", "text", F.col(part).alias("part")))
 
     def find(batches):
         return _anchors(batches, run, gram)
@@ -223,13 +243,13 @@ def dedup_lines(docs: DataFrame, run: int = RUN, gram: int = GRAM) -> DataFrame:
         return _windows(batches, run)
 
     def clean(batches):
-        return _cleaned(batches, run, names)
+        return _cleaned(batches, run, names, [later_name, own_name, n_words, n_removed])
 
-    anchors = cut(known.select("doc_id", "text", "__t").mapInArrow(find, "hash long, reach long, doc_id long, at long"))
-    repeated = cut(anchors.join(_repeated(anchors, (F.min("reach") != F.max("reach")).alias("mixed")), "hash").drop("reach"))
-    drop(anchors)
-    release(docs.sparkSession)
-    place = F.shiftright("at", TEXT_AT).alias("__t")
+    anchors = cut(texts.mapInArrow(find, "hash long, reach long, doc_id long, at long"))
+    keys = cut(_repeated(anchors, (F.min("reach") != F.max("reach")).alias("mixed")))
+    repeated = cut(join_hot(anchors.drop("reach"), keys, "hash", "n", anchors.count()).drop("n"))
+    drop(anchors, keys)
+    place = F.shiftright("at", TEXT_AT).alias("part")
     mask = (1 << REACH_BITS) - 1
     before, after = F.shiftright("at", REACH_BITS + 1).bitwiseAND(mask), F.shiftright("at", 1).bitwiseAND(mask)
     word = F.shiftright("at", PLACE_AT).bitwiseAND((1 << PLACE_BITS) - 1)
@@ -242,14 +262,15 @@ def dedup_lines(docs: DataFrame, run: int = RUN, gram: int = GRAM) -> DataFrame:
         return kept.select("doc_id", place, F.when(later, spot).alias("later"), F.when(~later, F.struct("hash", spot.alias("spot"))).alias("own"))
 
     whole = spots(repeated.where("not mixed"), word - before, before - after + 1)
-    mixed = repeated.where("mixed").groupBy("doc_id", place).agg(F.collect_list("at").alias("__mixed"))
-    around = known.join(mixed, ["doc_id", "__t"]).select(*[known[c] for c in known.columns], "__mixed").mapInArrow(
-        expand, "hash long, doc_id long, at long"
-    )
-    single = spots(around.join(_repeated(around), "hash"), word, F.lit(1).cast("long"))
-    repeats = whole.unionByName(single).groupBy("doc_id", "__t").agg(F.collect_list("later").alias("__later"), F.collect_list("own").alias("__own"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", __n_words long, __n_removed long"
-    joined = known.join(repeats, ["doc_id", "__t"], "left").select(*[known[c] for c in names], "__later", "__own")
-    none = [F.lit(None).cast(kind).alias(c) for c, kind in (("__later", "array<bigint>"), ("__own", "array<struct<hash:bigint,spot:bigint>>"))]
-    bare = keyed.where("doc_id is null").select(*names, *none)
-    return joined.unionByName(bare).mapInArrow(clean, fields)
+    mixed = repeated.where("mixed").groupBy("doc_id", place).agg(F.collect_list("at").alias("mixed"))
+    around = cut(texts.join(mixed, ["doc_id", "part"]).select("doc_id", "text", "part", "mixed").mapInArrow(expand, "hash long, doc_id long, at long"))
+    again = cut(_repeated(around))
+    single = spots(join_hot(around, again, "hash", "n", around.count()), word, F.lit(1).cast("long"))
+    repeats = cut(whole.unionByName(single).groupBy("doc_id", "part").agg(F.collect_list("later").alias("later"), F.collect_list("own").alias("own")))
+    drop(repeated, around, again)
+    fields = [*docs.schema.fields, T.StructField(n_words, T.LongType()), T.StructField(n_removed, T.LongType())]
+    marks = repeats.select("doc_id", *(F.col(a).alias(b) for a, b in (("part", part), ("later", later_name), ("own", own_name))))
+    joined = known.join(marks, ["doc_id", part], "left").select(*columns(names), later_name, own_name)
+    none = [F.lit(None).cast(kind).alias(c) for c, kind in ((later_name, "array<bigint>"), (own_name, "array<struct<hash:bigint,spot:bigint>>"))]
+    bare = keyed.where("doc_id is null").select(*columns(names), *none)
+    return plain(joined.union(bare)).mapInArrow(clean, T.StructType(fields))

@@ -21,8 +21,7 @@ def _vocabulary(name: str) -> str:
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cleaned = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return cleaned.select("doc_id", "text", F.col("__n_words").alias("n_words"), F.col("__n_removed").alias("n_removed"))
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

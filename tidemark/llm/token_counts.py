@@ -1,6 +1,6 @@
 """Token counts: batch encoding in an Arrow function that returns lengths only.
 
-Rows are dealt into encoding batches of bounded bytes. A text longer than a batch is cut at safe boundaries, places
+Rows are dealt into encoding batches of bounded UTF-8 bytes. A text longer than a batch is cut at safe boundaries, places
 where the tokenizer's pre-tokenizer always cuts, so that the sum over the parts is the count of the whole.
 """
 
@@ -20,7 +20,10 @@ from .common import ship, text_bytes
 BATCH_BYTES = 1 << 18
 OUT = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 
-_SAFE = re.compile(r"(?<=\S)(?=[ \t\n\r\x0b\x0c])")
+# Letters of old standing: ASCII, Latin-1, Greek, Cyrillic, kana, Han and Hangul; and marks that are neither letters nor digits.
+_LETTER = "A-Za-zÀ-ÖØ-öø-ÿΑ-ΡΣ-ωА-яぁ-ゖァ-ヺ一-龥가-힣"
+_MARK = "!-/:-@\\[-`{-~、。！（），：；？「」"
+_SAFE = re.compile(rf"(?<=\S)(?=[ \t\n\r\x0b\x0c])|(?<=[{_LETTER}])(?=[0-9{_MARK}])|(?<=[0-9])(?=[{_LETTER}{_MARK}])")
 _loaded: dict[str, object] = {}
 
 
@@ -33,16 +36,28 @@ def _tokenizer(path: str):
     return _loaded[path]
 
 
-def safe_parts(text: str, most: int) -> list[str]:
-    """Cuts a text before white space that follows a non-space, at least ``most`` characters apart.
+def _special(tokenizer) -> list[str]:
+    return [t.content for t in tokenizer.get_added_tokens_decoder().values()]
 
-    The byte-level pattern has no look-behind and none of its alternatives goes on from a non-space into white space,
-    so each such place starts a piece of its own; the vocabulary's one special string holds no white space. A text
-    without such places stays whole.
+
+def safe_parts(text: str, most: int, special: list[str] = ()) -> list[str]:
+    """Cuts a text at the first safe place behind each ``most`` bytes: before white space that follows a non-space, between
+    letters and digits, and before a mark that follows a letter or digit.
+
+    The byte-level pattern has no look-behind, and none of its alternatives goes on across such a place, so each starts a piece
+    of its own. Only a special string may lie across one, and isn't cut. A text without such places stays whole: one run of
+    letters or of marks is one piece to the pre-tokenizer.
     """
     parts, at = [], 0
-    while len(text) - at > most:
-        found = _SAFE.search(text, at + most)
+    while True:
+        # A part of ``most`` code points has ``most`` bytes or more; the part's bytes tell how many code points are enough.
+        head = text[at : at + most].encode()
+        if len(head) < most or len(head) == most and at + most >= len(text):
+            break
+        place = at + len(head[:most].decode(errors="ignore"))
+        found = _SAFE.search(text, max(place, at + 1))
+        while found and any(text.find(s, max(0, found.start() - len(s) + 1), found.start() + len(s) - 1) >= 0 for s in special):
+            found = _SAFE.search(text, found.start() + 1)
         if not found:
             break
         parts.append(text[at : found.start()])
@@ -53,6 +68,7 @@ def safe_parts(text: str, most: int) -> list[str]:
 
 def _encoded(batches: Iterator[pa.RecordBatch], path: str, limit: int, most: int) -> Iterator[pa.RecordBatch]:
     tokenizer = _tokenizer(path)
+    special = _special(tokenizer)
     for batch in batches:
         ids, column = batch.column(0), batch.column(1)
         _, bounds = text_bytes(column)
@@ -71,13 +87,15 @@ def _encoded(batches: Iterator[pa.RecordBatch], path: str, limit: int, most: int
             if not n_bytes[row]:
                 continue
             text = column[row].as_py()
-            for part in safe_parts(text, most) if n_bytes[row] > most else (text,):
-                waiting.append(part)
-                owner.append(row)
-                held += len(part)
-                if held >= most:
+            parts = safe_parts(text, most, special) if n_bytes[row] > most else [text]
+            for part in parts:
+                size = int(n_bytes[row]) if len(parts) == 1 else len(part.encode())
+                if held and held + size > most:
                     flush()
                     held = 0
+                waiting.append(part)
+                owner.append(row)
+                held += size
         if waiting:
             flush()
         yield pa.RecordBatch.from_arrays(
