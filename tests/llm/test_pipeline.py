@@ -51,22 +51,36 @@ def test_stages(spark):
     assert {r.doc_id for r in mix} == set(rest)
     for source in {r.source for r in mix}:
         of = [r for r in mix if r.source == source]
-        assert sum(r.taken for r in of) == round(of[0].target)
+        assert sum(r.words for r in of) == sum({r.doc_id: r.taken for r in of}.values()) == round(of[0].target)
+    at = [2 if r.position is None else r.position for r in mix]
+    assert at == sorted(at)
 
 
 def test_run_and_edges(spark):
     assert corpus_pipeline.run(spark, SIZE).count() > 100
     odd = spark.createDataFrame(
         [(None, None, None, None, None, 1), (1, None, None, None, None, 2), (2, "", "en", "s", 0, 3), (3, "x " * 100_000, None, None, 5, 4), (4, "tie", "en", "s", 3, 5), (4, "tie", "en", "s", 3, 5)],
-        "doc_id long, text string, lang string, source string, n_chars long, __n_removed2 int",
+        "doc_id long, text string, lang string, source string, n_chars long, extra int",
     )
-    for frame in (odd, odd.limit(0)):
+    clash = odd.withColumns({c: F.lit(c) for c in NAMES})
+    for frame in (odd, odd.limit(0), clash):
         out = frame
         for name, stage in corpus_pipeline.STAGES[:-1]:
             out = stage(spark, out, SIZE)
-            assert out.columns == odd.columns, name
-        mixed = corpus_pipeline.STAGES[-1][1](spark, out, SIZE)
-        assert mixed.count() == out.count()
+            assert out.columns == frame.columns, name
+        rows = out.collect()
+        assert all(r[c] == c for r in rows for c in NAMES if c in frame.columns)
+        mixed = corpus_pipeline.STAGES[-1][1](spark, out, SIZE).collect()
+        assert sorted({str(r.doc_id) for r in mixed}) == sorted({str(r.doc_id) for r in rows}) and len(mixed) >= len(rows)
+        assert all(r[c] == c for r in mixed for c in NAMES if c in frame.columns)
+
+
+#: Every name that an operator gives a column of its own.
+NAMES = (
+    "n_words N_removed part later own mixed at reach least full hash n_hit n_items items spans runs contaminated size source_size target taken copies epoch words position copy key "
+    "component component_id kept n node check registers band split leader task side shingles n_shingles positive score predicted toxic rank rest held count before source_ "
+    "__n_words __n_removed __t __part __later __own __mixed __runs __items __z __h __s __b __before __size __target __rank __at __whole __rest __source __copy __key __c0 a.b odd`name"
+).split()
 
 
 def test_repeated_rows_go_once(spark):
