@@ -95,3 +95,19 @@ def test_annual_costs(spark):
             bad()
     with pytest.raises(Exception, match="unknown frequency"):
         costs.annualise_by_frequency(spark.createDataFrame([("hourly", 0.1, 10.0)], "frequency string, turnover_per_rebalance double, round_trip_bps double")).collect()
+
+
+class Rebate(costs.CostModel):
+    def parts(self):
+        return {"commission": F.lit(-1.0), "impact": F.lit(float("nan"))}
+
+
+def test_negative_components_are_errors(spark):
+    with pytest.raises(Exception, match="commission must be >= 0"):
+        one(spark, Rebate(), 1, 1)
+
+    class Fine(Rebate):
+        def parts(self):
+            return {"commission": F.lit(0.0), "impact": F.lit(None).cast("double")}
+
+    assert one(spark, Fine(), 1, 1).commission == 0

@@ -5,12 +5,14 @@ import math
 from statistics import NormalDist
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import inverse_normal
 from tidemark.operators import analytics
+from tidemark.plans import catalogue
 from tidemark.plans.catalogue import ORACLE_SQL, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events".split()
@@ -49,6 +51,53 @@ def test_query(spark, oracle, name):
     assert sorted(rows) == sorted(tuple(cell(r[k]) for k in order) for r in want.fetchall())
 
 
+def log_returns(oracle):
+    """Returns of the three aligned symbols by symbol, from SQL alone."""
+    rows = oracle.execute(f"WITH {catalogue.ALIGNED} SELECT symbol, day, ret FROM ret ORDER BY symbol, day").fetchall()
+    out = {}
+    for symbol, _, ret in rows:
+        out.setdefault(symbol, []).append(ret)
+    return out
+
+
+def quantile_plot(returns):
+    n = len(returns)
+    last = 0.5 ** (1 / n)
+    medians = [1 - last if k == 1 else last if k == n else (k - 0.3175) / (n + 0.365) for k in range(1, n + 1)]
+    return [NormalDist().inv_cdf(m) for m in medians], sorted(returns)
+
+
+def test_quantile_plot_by_brute_force(spark, oracle):
+    got = {}
+    for r in QUERIES["qq_normal"](spark, SIZE).collect():
+        got.setdefault(r.symbol, []).append((r.rank, r.theoretical, r["sample"]))
+    want = log_returns(oracle)
+    assert set(got) == set(want)
+    fits = {r.symbol: r for r in QUERIES["qq_fit"](spark, SIZE).collect()}
+    for symbol, returns in want.items():
+        x, y = quantile_plot(returns)
+        rows = sorted(got[symbol])
+        assert [r[0] for r in rows] == list(range(1, len(x) + 1))
+        assert [r[1] for r in rows] == pytest.approx(x, abs=1e-5) and [r[2] for r in rows] == pytest.approx(y, abs=1e-5)
+        slope, intercept = np.polyfit(x, y, 1)
+        assert (fits[symbol].slope, fits[symbol].intercept, fits[symbol].r) == (pytest.approx(slope, abs=1e-5), pytest.approx(intercept, abs=1e-5), pytest.approx(np.corrcoef(x, y)[0, 1], abs=1e-5))
+
+
+def test_macd_by_brute_force(spark):
+    closes = {}
+    for r in catalogue.closes(spark, SIZE).orderBy("symbol", "day").collect():
+        closes.setdefault(r.symbol, []).append((r.day, r.close))
+    got = {(r.symbol, r.day): (r.macd, r.signal) for r in QUERIES["macd"](spark, SIZE).collect()}
+    assert len(got) == sum(map(len, closes.values()))
+    for symbol, rows in closes.items():
+        fast = slow = line = None
+        for day, close in rows:
+            fast = close if fast is None else close * 2 / 13 + fast * 11 / 13
+            slow = close if slow is None else close * 2 / 27 + slow * 25 / 27
+            line = fast - slow if line is None else (fast - slow) * 2 / 10 + line * 8 / 10
+            assert got[symbol, day] == (pytest.approx(fast - slow, abs=1e-4), pytest.approx(line, abs=1e-4))
+
+
 def test_inverse_normal(spark):
     ps = [1e-6, 0.01, 0.02425, 0.3, 0.5, 0.9, 0.99, 1 - 1e-6]
     got = spark.createDataFrame([(p,) for p in ps], "p double").select("p", inverse_normal(F.col("p")).alias("z")).collect()

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .functions.schema import Frequency
 from .functions.settings import configure_logging
 from .sources import providers
-from .sources.ingest import Downloader
+from .sources.ingest import Ingest, Series
 from .sources.store import BarStore
 
 
@@ -34,13 +34,13 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, provi
     configure_logging()
     spark = spark or SparkSession.builder.appName("tidemark").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     made = {
-        "yfinance": lambda: providers.YahooProvider(spark),
-        "ccxt": lambda: providers.CCXTProvider(spark, args.exchange),
-        "tushare": lambda: providers.TushareProvider(spark),
+        "yfinance": lambda: providers.YahooSource(spark),
+        "ccxt": lambda: providers.CCXTSource(spark, args.exchange),
+        "tushare": lambda: providers.TushareSource(spark),
     }
     source = provider or made[args.provider]()
     start, end = (dt.datetime.strptime(x, "%Y-%m-%d").replace(tzinfo=dt.UTC) for x in (args.start, args.end))
-    bars = Downloader(source, BarStore(spark)).download(args.symbol, start, end, Frequency(args.frequency), force=args.force)
+    bars = Ingest(source, BarStore(spark)).series(Series(args.symbol, start, end, Frequency(args.frequency)), force=args.force)
     n, first, last = bars.agg(F.count(F.lit(1)), F.min("timestamp"), F.max("timestamp")).first()
     print(f"{n} rows for {args.symbol} [{source.name}, {args.frequency}]\n   range: {first} -> {last}")
     bars.orderBy("timestamp").limit(5).show(truncate=False)

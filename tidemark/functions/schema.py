@@ -25,6 +25,8 @@ SNAPSHOT = "as_of date, members array<string>, metadata map<string,string>"
 
 
 class Market(StrEnum):
+    """Fixed values."""
+
     CN = "cn"
     US = "us"
     CRYPTO = "crypto"
@@ -33,7 +35,7 @@ class Market(StrEnum):
 
 
 class Frequency(StrEnum):
-    """Case matters: 1m is a minute and 1M a month."""
+    """Fixed values. Case matters: 1m is a minute and 1M a month."""
 
     MINUTE_1 = "1m"
     MINUTE_5 = "5m"

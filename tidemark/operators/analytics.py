@@ -108,8 +108,8 @@ def rolling_correlations(returns: DataFrame, window: int = 60) -> DataFrame:
 
 
 def cumulative(returns: DataFrame) -> DataFrame:
-    """(symbol, day, curve, growth): the product of 1 + r over the first such factor, which takes log returns for simple ones
-    as the studied source does, and the exact growth exp(sum of r)."""
+    """(symbol, day, curve, growth): the product of 1 + r over the first such factor, which takes log returns for simple ones,
+    and the exact growth exp(sum of r)."""
     w = _by("symbol").rowsBetween(Window.unboundedPreceding, 0)
     curve = F.product(1 + F.col("ret")).over(w)
     first = F.first(1 + F.col("ret")).over(w)
@@ -249,9 +249,24 @@ def performance(returns: DataFrame) -> DataFrame:
     )
 
 
+def quantiles(rows: DataFrame, key: str, column: str, *levels: float) -> DataFrame:
+    """(key, one column a level): interpolated quantiles of the known values by key, taken from sorted ranks, which spill
+    where a group's values don't fit in memory."""
+    known, group = rows.where(F.col(column).isNotNull()).select(key, F.col(column).alias("x")), Window.partitionBy(key)
+    ranked = known.select(key, "x", (F.row_number().over(group.orderBy("x")) - 1).alias("at"), F.count(F.lit(1)).over(group).alias("n"))
+
+    def taken(level: float) -> Column:
+        place = (F.col("n") - 1) * F.lit(level)
+        low, part = F.floor(place), place - F.floor(place)
+        weight = F.when(F.col("at") == low, 1 - part).when((F.col("at") == low + 1) & (part > 0), part)
+        return F.sum(F.col("x") * weight)
+
+    return ranked.groupBy(key).agg(*[taken(level).alias(f"q{k}") for k, level in enumerate(levels)])
+
+
 def value_at_risk(returns: DataFrame, level: float = 0.05) -> DataFrame:
     """(symbol, var, cvar): the interpolated quantile of returns and the mean of those not above it."""
-    cut = returns.groupBy("symbol").agg(F.percentile("ret", F.lit(level)).alias("var"))
+    cut = quantiles(returns, "symbol", "ret", level).toDF("symbol", "var")
     return returns.join(cut, "symbol").where(F.col("ret") <= F.col("var")).groupBy("symbol").agg(F.first("var").alias("var"), F.avg("ret").alias("cvar"))
 
 
@@ -304,10 +319,12 @@ def net_returns(gross: DataFrame, one_way_bps: float) -> DataFrame:
 def forward_fill(calendar: DataFrame, closes: DataFrame) -> DataFrame:
     """(symbol, day, close) on every day of ``calendar`` from a symbol's first close on, gaps taking the last one before.
 
-    One sorted stream by symbol; the grid has one row per symbol and calendar day, as the result does.
+    The calendar, one value a day, is one array; each symbol takes its part of it. One sorted stream by symbol follows; the grid
+    has one row per symbol and calendar day, as the result does.
     """
-    spans = closes.groupBy("symbol").agg(F.min("day").alias("from"))
-    grid = spans.join(calendar.select("day").distinct(), F.col("day") >= F.col("from")).select("symbol", "day")
+    days = calendar.agg(F.array_sort(F.collect_set("day"))).scalar()
+    spans = closes.groupBy("symbol").agg(F.min("day").alias("from")).withColumn("days", days)
+    grid = spans.select("symbol", F.explode(F.filter("days", lambda d: d >= F.col("from"))).alias("day"))
     both = grid.unionByName(closes.select("symbol", "day", "close"), allowMissingColumns=True)
     merged = both.groupBy("symbol", "day").agg(F.max("close").alias("close"))
     w = _by("symbol").rowsBetween(Window.unboundedPreceding, 0)
@@ -331,7 +348,7 @@ def channels(closes: DataFrame, n: int = 20) -> DataFrame:
 
 def winsorised(factors: DataFrame, column: str = "factor", low: float = 0.01, high: float = 0.99) -> DataFrame:
     """(symbol, day, clipped, zscore): a factor clipped at its day's quantiles, then standardised within the day."""
-    cuts = factors.groupBy("day").agg(F.percentile(column, F.lit(low)).alias("__l"), F.percentile(column, F.lit(high)).alias("__h"))
+    cuts = quantiles(factors, "day", column, low, high).toDF("day", "__l", "__h")
     clipped = factors.join(cuts, "day").select("symbol", "day", F.greatest(F.least(F.col(column), F.col("__h")), F.col("__l")).alias("clipped"))
     day = Window.partitionBy("day")
     return clipped.withColumn("zscore", ratio(F.col("clipped") - F.avg("clipped").over(day), F.stddev_samp("clipped").over(day)))

@@ -46,6 +46,11 @@ def total(parts: dict[str, Column] | None = None) -> Column:
     return out
 
 
+def at_least_0(name: str, component: Column) -> Column:
+    """The component, with an error raised where it is negative; null and NaN pass."""
+    return F.when(component < 0, F.raise_error(F.concat(F.lit(f"{name} must be >= 0, got "), component.cast("string"))).cast("double")).otherwise(component)
+
+
 def bps_of(cost: Column, of: Column) -> Column:
     """Cost in basis points of a notional above 0; null otherwise."""
     return F.when(of > 0, cost / of * BPS)
@@ -119,8 +124,9 @@ class CostModel:
         return []
 
     def breakdown(self) -> dict[str, Column]:
-        given = self.parts() | {"slippage": self.slippage.expr() if self.slippage is not None else F.lit(0.0)}
-        return {c: given.get(c, F.lit(0.0)) for c in COMPONENTS}
+        """All components; a negative one is an error."""
+        given = self.parts() | ({"slippage": self.slippage.expr()} if self.slippage is not None else {})
+        return {c: at_least_0(c, given[c]) if c in given else F.lit(0.0) for c in COMPONENTS}
 
     def estimate(self, trades: DataFrame) -> DataFrame:
         """The trades with their components, total, notional, bps and notes."""

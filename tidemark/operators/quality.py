@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from ..functions.scalars import known, missing
 from ..functions.schema import OHLCV, PRICES
 
-#: Rules in the order in which they are raised.
+#: Rules in the order in which they are raised. The texts that callers match on.
 MESSAGES = {
     "not_monotonic": "`timestamp` must be monotonically increasing",
     "duplicate_timestamps": "`timestamp` contains duplicates",
@@ -21,6 +21,9 @@ MESSAGES = {
 }
 
 
+EMPTY = "OHLCV DataFrame is empty"
+
+
 def check_schema(bars: DataFrame) -> None:
     """Columns and types, without a job."""
     absent = sorted(set(OHLCV) - set(bars.columns))
@@ -76,10 +79,10 @@ def violations(bars: DataFrame, keys: tuple[str, ...] = (), sequence: str | None
 
 def validate(bars: DataFrame, allow_nan: bool = False, keys: tuple[str, ...] = (), sequence: str | None = None) -> None:
     """Raises the first violated rule: emptiness, columns, types, then MESSAGES in order."""
+    if bars.isEmpty():
+        raise ValueError(EMPTY)
     report = violations(bars, keys, sequence)
     worst = report.agg(F.sum("rows").alias("rows"), *[F.sum(name).alias(name) for name in MESSAGES]).first()
-    if not worst["rows"]:
-        raise ValueError("OHLCV DataFrame is empty")
     for name, message in MESSAGES.items():
         if worst[name] and not (allow_nan and name == "missing_values"):
             raise ValueError(message)

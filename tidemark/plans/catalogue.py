@@ -6,6 +6,8 @@ that add floating point numbers are rounded on both sides, as the order of addit
 
 from __future__ import annotations
 
+import atexit
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -638,14 +640,22 @@ def net_return(spark, d):
     return analytics.net_returns(gross, 7.7).select("symbol", "day", r("net", 8))
 
 
+def _forget(spark, path):
+    """Deletes a folder at the end, if the session still runs then."""
+    if spark.sparkContext._jsc is not None and not spark.sparkContext._jsc.sc().isStopped():
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 @query("""WITH b AS (SELECT event_type AS symbol, date_trunc('hour', ts) AS h, arg_min(value, event_id) AS open, max(value) AS high, min(value) AS low, arg_max(value, event_id) AS close, count(*) AS trades
     FROM events GROUP BY ALL) SELECT symbol, strftime(h, '%Y-%m-%d %H:%M:%S') AS hour, open, high, low, close, trades FROM b WHERE h + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 2 HOUR FROM events)""")
 def streaming_bars(spark, d):
-    import uuid
-
-    held = spark.sparkContext._jsc.sc().getCheckpointDir()
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or (held.get() if held.isDefined() else spark.conf.get("spark.sql.warehouse.dir"))
-    where = f"{base.rstrip('/')}/streamed-{uuid.uuid4().hex}"
+    held, context = spark.sparkContext._jsc.sc().getCheckpointDir(), spark.sparkContext
+    base = context.getConf().get("spark.checkpoint.dir") or (held.get() if held.isDefined() else None)
+    if not base and not context._jsc.sc().isLocal():
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    where = f"{(base or spark.conf.get('spark.sql.warehouse.dir')).rstrip('/')}/streamed-{uuid.uuid4().hex}"
+    atexit.register(_forget, spark, where)
     found = run_to_end(spark, f"{d}/events.parquet", f"{where}/bars", f"{where}/state")
     return found.select("symbol", F.date_format("day", "yyyy-MM-dd HH:mm:ss").alias("hour"), "open", "high", "low", "close", "trades")
 

@@ -14,7 +14,7 @@ from ..functions.errors import AuthenticationError, DataProviderError
 from ..functions.scalars import EXCHANGES
 from ..functions.schema import VENDOR_FREQUENCY, Frequency, Market
 from . import normalise
-from .ingest import DataProvider, DownloadRequest
+from .ingest import BarSource, Series
 
 
 def client(name: str):
@@ -24,38 +24,39 @@ def client(name: str):
         raise DataProviderError(f"the {name} package is needed for this source") from error
 
 
-class YahooProvider(DataProvider):
+class YahooSource(BarSource):
     name = "yfinance"
-    supported_markets = frozenset({Market.US, Market.CRYPTO, Market.HK})
-    supported_frequencies = frozenset(map(Frequency, VENDOR_FREQUENCY["yfinance"]))
+    markets = frozenset({Market.US, Market.CRYPTO, Market.HK})
+    frequencies = frozenset(map(Frequency, VENDOR_FREQUENCY["yfinance"]))
 
     def __init__(self, spark: SparkSession, history: Callable[..., pd.DataFrame] | None = None):
         self.spark, self.history = spark, history
 
-    def fetch(self, request: DownloadRequest) -> DataFrame:
-        interval = VENDOR_FREQUENCY["yfinance"].get(request.frequency)
+    def bars(self, series: Series) -> DataFrame:
+        interval = VENDOR_FREQUENCY["yfinance"].get(series.frequency)
         if interval is None:
-            raise DataProviderError(f"unsupported frequency: {request.frequency}")
+            raise DataProviderError(f"unsupported frequency: {series.frequency}")
         ask = self.history or (lambda symbol, **how: client("yfinance").Ticker(symbol).history(**how))
         try:
-            raw = ask(request.symbol, start=request.start, end=request.end, interval=interval, auto_adjust=False, actions=True)
+            raw = ask(series.symbol, start=series.start, end=series.end, interval=interval, auto_adjust=False, actions=True)
         except DataProviderError:
             raise
         except Exception as error:
             raise DataProviderError(f"yfinance failed: {error}") from error
         if raw.empty:
-            raise DataProviderError(f"yfinance returned nothing for {request.symbol}")
+            raise DataProviderError(f"yfinance returned nothing for {series.symbol}")
         raw = raw.reset_index()
         column = "Datetime" if "Datetime" in raw else "Date"
         raw[column] = pd.to_datetime(raw[column], utc=True)
+        raw["arrival"] = range(len(raw))
         return normalise.from_yahoo(self.spark.createDataFrame(raw))
 
 
-class CCXTProvider(DataProvider):
+class CCXTSource(BarSource):
     """Pages of candles: the cursor moves past the last one, until a page is empty or short or the cursor stands still."""
 
-    supported_markets = frozenset({Market.CRYPTO})
-    supported_frequencies = frozenset(Frequency)
+    markets = frozenset({Market.CRYPTO})
+    frequencies = frozenset(Frequency)
 
     def __init__(self, spark: SparkSession, exchange: str = "binance", page: int = 1000, candles: Callable[..., list] | None = None):
         self.spark, self.page, self.name = spark, page, f"ccxt.{exchange}"
@@ -66,12 +67,12 @@ class CCXTProvider(DataProvider):
             candles = getattr(library, exchange)({"enableRateLimit": True}).fetch_ohlcv
         self.candles = candles
 
-    def fetch(self, request: DownloadRequest) -> DataFrame:
-        since, end = (int(t.timestamp() * 1000) for t in (request.start, request.end))
+    def bars(self, series: Series) -> DataFrame:
+        since, end = (normalise.utc_millis(t) for t in (series.start, series.end))
         rows: list[list] = []
         while since < end:
             try:
-                found = self.candles(request.symbol, timeframe=str(request.frequency), since=since, limit=self.page)
+                found = self.candles(series.symbol, timeframe=str(series.frequency), since=since, limit=self.page)
             except Exception as error:
                 raise DataProviderError(f"{self.name} failed: {error}") from error
             if not found or (rows and found[-1][0] <= rows[-1][0]):
@@ -81,17 +82,17 @@ class CCXTProvider(DataProvider):
             if len(found) < self.page:
                 break
         if not rows:
-            raise DataProviderError(f"{self.name} returned nothing for {request.symbol}")
+            raise DataProviderError(f"{self.name} returned nothing for {series.symbol}")
         shaped = [(int(r[0]), *map(float, r[1:6]), k) for k, r in enumerate(rows)]
         raw = self.spark.createDataFrame(shaped, "ms long, open double, high double, low double, close double, volume double, arrival long")
-        return normalise.from_ccxt(raw, request.end)
+        return normalise.from_ccxt(raw, series.end)
 
 
-class TushareProvider(DataProvider):
+class TushareSource(BarSource):
     name = "tushare"
-    supported_markets = frozenset({Market.CN})
-    supported_frequencies = frozenset({Frequency.DAILY, Frequency.WEEKLY, Frequency.MONTHLY})
-    requires_credentials = True
+    markets = frozenset({Market.CN})
+    frequencies = frozenset({Frequency.DAILY, Frequency.WEEKLY, Frequency.MONTHLY})
+    needs_token = True
 
     def __init__(self, spark: SparkSession, daily: Callable[..., pd.DataFrame] | None = None):
         self.spark, self.daily = spark, daily
@@ -107,13 +108,13 @@ class TushareProvider(DataProvider):
                 return symbol + suffix
         raise ValueError(f"cannot infer the exchange of {symbol}")
 
-    def fetch(self, request: DownloadRequest) -> DataFrame:
-        if request.frequency != Frequency.DAILY:
-            raise DataProviderError(f"unsupported frequency: {request.frequency}")
-        code = self.code(request.symbol)
+    def bars(self, series: Series) -> DataFrame:
+        if series.frequency != Frequency.DAILY:
+            raise DataProviderError(f"unsupported frequency: {series.frequency}")
+        code = self.code(series.symbol)
         ask = self.daily or client("tushare").pro_api(os.environ["TUSHARE_TOKEN"]).daily
         try:
-            raw = ask(ts_code=code, start_date=request.start.strftime("%Y%m%d"), end_date=request.end.strftime("%Y%m%d"))
+            raw = ask(ts_code=code, start_date=series.start.strftime("%Y%m%d"), end_date=series.end.strftime("%Y%m%d"))
         except Exception as error:
             raise DataProviderError(f"tushare failed: {error}") from error
         if raw is None or raw.empty:
