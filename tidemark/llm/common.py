@@ -16,10 +16,10 @@ from pyspark.sql import functions as F
 
 #: Text bytes that one numpy pass handles at once; a single longer text forms a pass of its own.
 SLICE_BYTES = 1 << 20
-#: Rows of an Arrow batch.
-BATCH_ROWS = 1024
+#: Bytes of an Arrow batch.
+BATCH_BYTES = 4 << 20
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Bytes of text hashed at once; longer runs are cut at a separator.
 PIECE_BYTES = 1 << 20
 
@@ -31,10 +31,10 @@ _MASK = (1 << 64) - 1
 
 
 def ship(spark: SparkSession) -> None:
-    """Lets Python workers find this package where it isn't installed but lies at the driver's path, and bounds the rows of
-    an Arrow batch, whose memory follows its texts, where neither the user nor the cluster has set them."""
-    if not spark._jsparkSession.sessionState().conf().contains(_BATCH_ROWS):
-        spark.conf.set(_BATCH_ROWS, str(BATCH_ROWS))
+    """Lets Python workers find this package where it isn't installed but lies at the driver's path, and bounds the bytes of
+    an Arrow batch, which Spark otherwise ends by rows alone, where neither the user nor the cluster has set them."""
+    if not spark._jsparkSession.sessionState().conf().contains(_BATCH):
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
     root = str(Path(__file__).resolve().parents[2])
     held = spark.sparkContext.environment.get("PYTHONPATH", "")
     if root not in held.split(os.pathsep):

@@ -113,15 +113,15 @@ def _hits(runs: list[list[int] | None]) -> np.ndarray:
 
 def _judged(batches: Iterator[pa.RecordBatch], share: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts, runs, items = batch.column("text"), batch.column("runs").to_pylist(), batch.column("items").to_pylist()
-        n_words = batch.column("n_words").to_numpy()
+        doc_id, texts, n_words, runs, items = batch.columns
+        runs, items, n_words = runs.to_pylist(), items.to_pylist(), n_words.to_numpy()
         n_hit = _hits(runs)
         spans = [
             _spans(texts[i].as_py().encode(), (np.array(r[::2]), np.array(r[1::2]))) if r else [] for i, r in enumerate(runs)
         ]
         yield pa.RecordBatch.from_arrays(
             [
-                batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_hit),
+                doc_id, pa.array(n_words, pa.int64()), pa.array(n_hit),
                 pa.array([len(x or ()) for x in items], pa.int64()),
                 pa.array([hashlib.sha256(",".join(x or ()).encode()).hexdigest() for x in items]),
                 pa.array((n_hit > 0) & (share * n_hit >= n_words)),
@@ -197,8 +197,8 @@ def occurring(docs: DataFrame, windows: DataFrame) -> DataFrame:
     return cut(windows.join(met, "hash", "left_semi"))
 
 
-def scanned(docs: DataFrame, benchmark: DataFrame, window: int, automaton_bytes: int) -> DataFrame:
-    """The rows of ``docs`` with the hits of all automata in columns behind them (STATE).
+def scanned(docs: DataFrame, benchmark: DataFrame, window: int, automaton_bytes: int, finish, out) -> DataFrame:
+    """What ``finish`` makes (schema ``out``) of the rows of ``docs`` with the hits of all automata in columns behind them (STATE).
 
     The automata live in executors, so their size is bounded: the benchmark is measured first; of one that is too large, only
     the windows that occur in documents are kept. If even these need several automata, each one is a pass over a written table.
@@ -230,12 +230,13 @@ def scanned(docs: DataFrame, benchmark: DataFrame, window: int, automaton_bytes:
             of[row["window"].encode()] = row["items"]
         shared = share(spark, of)  # about automaton_bytes
 
-        def run(batches, shared=shared):
-            return _scanned(batches, shared, text, schema.names)
+        def run(batches, shared=shared, last=shard == shards - 1):
+            found = _scanned(batches, shared, text, schema.names)
+            return finish(found) if last else found
 
         if shard:
             state = cut(state)
-        state = plain(state).mapInArrow(run, schema)
+        state = plain(state).mapInArrow(run, out if shard == shards - 1 else schema)
     drop(windows)
     return state
 
@@ -254,8 +255,7 @@ def decontaminate(
     def judge(batches):
         return _judged(batches, share)
 
-    found = scanned(docs.select("doc_id", "text"), benchmark, window, automaton_bytes)
-    return found.toDF("doc_id", "text", *(name for name, _ in STATE)).mapInArrow(judge, OUT)
+    return scanned(docs.select("doc_id", "text"), benchmark, window, automaton_bytes, judge, OUT)
 
 
 def drop_contaminated(
@@ -271,4 +271,4 @@ def drop_contaminated(
             contaminated = (n_hit > 0) & (share * n_hit >= batch.column(width).to_numpy())
             yield batch.select(range(width)).filter(pa.array(~contaminated))
 
-    return plain(scanned(docs, benchmark, window, automaton_bytes)).mapInArrow(clean, docs.schema)
+    return scanned(docs, benchmark, window, automaton_bytes, clean, docs.schema)

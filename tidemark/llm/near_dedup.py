@@ -37,7 +37,7 @@ MISS_SPLIT = 1e-6
 #: lies lower with probability 3e-6.
 MARGIN = 4.5
 #: Classes, and shingles, that one task holds of either side.
-BLOCK, BLOCK_SHINGLES = 512, 4 << 20
+BLOCK, BLOCK_SHINGLES = 512, 1 << 20
 #: Blocks of classes outside a bucket's largest component from which a large bucket is split.
 OUTSIDE = 8
 #: Keys up to this number are broadcast to pick rows; more are joined by shuffle.
