@@ -47,6 +47,24 @@ def r(c: str | Column, digits: int = 6) -> Column:
     return out.alias(name) if name else out
 
 
+def _forget(spark: SparkSession, path: str) -> None:
+    """Deletes a folder at the end, if the session still runs then."""
+    if spark.sparkContext._jsc is not None and not spark.sparkContext._jsc.sc().isStopped():
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder that the driver and all executors share, until the session ends."""
+    held, context = spark.sparkContext._jsc.sc().getCheckpointDir(), spark.sparkContext
+    base = context.getConf().get("spark.checkpoint.dir") or (held.get() if held.isDefined() else None)
+    if not base and not context._jsc.sc().isLocal():
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    where = f"{(base or spark.conf.get('spark.sql.warehouse.dir')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    atexit.register(_forget, spark, where)
+    return where
+
+
 def dated(df: DataFrame) -> DataFrame:
     return df.withColumn("day", F.to_date("day"))
 
@@ -495,12 +513,31 @@ def histogram_80(spark, d):
     return analytics.histogram(read(spark, d, "events").select(F.col("event_type").alias("symbol"), F.col("value").alias("ret")))
 
 
-@query()
+def _horner(x: str, *terms: float) -> str:
+    out = repr(terms[0])
+    for t in terms[1:]:
+        out = f"({out} * {x} + {t!r})"
+    return out
+
+
+# The published coefficients of the normal quantile's rational approximation.
+_A = (-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00)
+_B = (-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01, -1.328068155288572e01, 1.0)
+_C = (-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00, -2.549732539343734e00, 4.374664141464968e00, 2.938163982698783e00)
+_D = (7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00, 3.754408661907416e00, 1.0)
+_TAIL = lambda p: f"({_horner(f'sqrt(-2 * ln({p}))', *_C)} / {_horner(f'sqrt(-2 * ln({p}))', *_D)})"
+QUANTILES = f"""{ALIGNED}, o AS (SELECT symbol, ret, row_number() OVER (PARTITION BY symbol ORDER BY ret) AS i, count(*) OVER (PARTITION BY symbol) AS n FROM ret),
+    m AS (SELECT *, CASE WHEN i = 1 THEN 1 - pow(0.5::DOUBLE, 1.0::DOUBLE / n) WHEN i = n THEN pow(0.5::DOUBLE, 1.0::DOUBLE / n) ELSE (i - 0.3175::DOUBLE) / (n + 0.365::DOUBLE) END AS p FROM o),
+    q AS (SELECT symbol, i, ret, CASE WHEN p < 0.02425 THEN {_TAIL("p")} WHEN p > 0.97575 THEN -{_TAIL("(1 - p)")}
+        ELSE (p - 0.5) * {_horner("((p - 0.5) * (p - 0.5))", *_A)} / {_horner("((p - 0.5) * (p - 0.5))", *_B)} END AS z FROM m)"""
+
+
+@query(f"WITH {QUANTILES} SELECT symbol, i::INTEGER AS rank, round(z, 8) + 0.0 AS theoretical, round(ret, 8) + 0.0 AS sample FROM q")
 def qq_normal(spark, d):
     return analytics.normal_quantiles(returns(spark, d)).select("symbol", "rank", r("theoretical", 8), r("sample", 8))
 
 
-@query()
+@query(f"WITH {QUANTILES} SELECT symbol, round(regr_slope(ret, z), 6) + 0.0 AS slope, round(regr_intercept(ret, z), 6) + 0.0 AS intercept, round(corr(z, ret), 6) + 0.0 AS r FROM q GROUP BY symbol")
 def qq_fit(spark, d):
     return analytics.normal_fit(returns(spark, d)).select("symbol", r("slope"), r("intercept"), r("r"))
 
@@ -541,7 +578,11 @@ def rsi(spark, d):
     return analytics.rsi(closes(spark, d)).select("symbol", "day", r("rsi", 4))
 
 
-@query()
+@query(f"""WITH RECURSIVE {ALIGNED}, n AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY day) AS k FROM c),
+    e AS (SELECT symbol, day, k, close::DOUBLE AS fast, close::DOUBLE AS slow, 0.0::DOUBLE AS signal FROM n WHERE k = 1
+        UNION ALL SELECT n.symbol, n.day, n.k, close * 2 / 13 + fast * 11 / 13, close * 2 / 27 + slow * 25 / 27,
+            0.2 * (close * 2 / 13 + fast * 11 / 13 - close * 2 / 27 - slow * 25 / 27) + 0.8 * signal FROM e JOIN n ON n.symbol = e.symbol AND n.k = e.k + 1)
+    SELECT symbol, day, round(fast - slow, 6) + 0.0 AS macd, round(signal, 6) + 0.0 AS signal FROM e""")
 def macd(spark, d):
     return analytics.macd(closes(spark, d)).select("symbol", "day", r("macd"), r("signal"))
 
@@ -640,22 +681,10 @@ def net_return(spark, d):
     return analytics.net_returns(gross, 7.7).select("symbol", "day", r("net", 8))
 
 
-def _forget(spark, path):
-    """Deletes a folder at the end, if the session still runs then."""
-    if spark.sparkContext._jsc is not None and not spark.sparkContext._jsc.sc().isStopped():
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
 @query("""WITH b AS (SELECT event_type AS symbol, date_trunc('hour', ts) AS h, arg_min(value, event_id) AS open, max(value) AS high, min(value) AS low, arg_max(value, event_id) AS close, count(*) AS trades
     FROM events GROUP BY ALL) SELECT symbol, strftime(h, '%Y-%m-%d %H:%M:%S') AS hour, open, high, low, close, trades FROM b WHERE h + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 2 HOUR FROM events)""")
 def streaming_bars(spark, d):
-    held, context = spark.sparkContext._jsc.sc().getCheckpointDir(), spark.sparkContext
-    base = context.getConf().get("spark.checkpoint.dir") or (held.get() if held.isDefined() else None)
-    if not base and not context._jsc.sc().isLocal():
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    where = f"{(base or spark.conf.get('spark.sql.warehouse.dir')).rstrip('/')}/streamed-{uuid.uuid4().hex}"
-    atexit.register(_forget, spark, where)
+    where = scratch(spark, "streamed")
     found = run_to_end(spark, f"{d}/events.parquet", f"{where}/bars", f"{where}/state")
     return found.select("symbol", F.date_format("day", "yyyy-MM-dd HH:mm:ss").alias("hour"), "open", "high", "low", "close", "trades")
 
