@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import inverse_normal
 from tidemark.operators import analytics
-from tidemark.plans import catalogue, ingestion  # noqa: F401  (ingestion adds to the catalogue)
+from tidemark.plans import catalogue, ingestion, research  # noqa: F401  (the last two add to the catalogue)
 from tidemark.plans.catalogue import ORACLE_SQL, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events".split()
