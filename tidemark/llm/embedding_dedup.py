@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, grouped, ship
+from .common import cut, drop, grouped, ship
 from .components import components
 
 #: Length of a neighbour list, of a saturated one as a multiple, most rounds, and the share of new edges that ends descent.
@@ -150,19 +150,23 @@ def _run_tasks(rows: DataFrame, most: int, bar: float) -> DataFrame:
     return ready.repartition(width, "task").sortWithinPartitions("task", "node").mapInArrow(run, "node long, near long, sim double")
 
 
-def first_proposals(classes: DataFrame, k: int, bar: float) -> DataFrame:
-    """Proposals from blocks of classes that share a hyperplane code's leading bits."""
+def code_blocks(classes: DataFrame) -> DataFrame:
+    """A written table of the classes once per hyperplane code, with the code's leading bits as their place."""
     sizes = classes.groupBy("space").agg(F.count(F.lit(1)).alias("held"))
     bits = F.least(F.lit(BITS), F.greatest(F.lit(0), F.ceil(F.log2(F.col("held") / (BLOCK / 2))))).cast("long")
 
     def run(batches):
         return _coded(batches, CODES)
 
-    coded = cut(
+    return cut(
         classes.join(sizes.select("space", bits.alias("bits")), "space")
         .select("space", "bits", "node", "unit")
         .mapInArrow(run, "space long, code long, place long, node long, vector binary")
     )
+
+
+def first_proposals(coded: DataFrame, k: int, bar: float) -> DataFrame:
+    """Proposals from blocks of classes that share a place."""
     counts = coded.groupBy("space", "code", "place").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("blocks"))
     task = F.xxhash64("space", "code", "place", F.pmod(F.xxhash64("node"), F.col("blocks")))
     rows = coded.join(counts, ["space", "code", "place"]).select(
@@ -203,10 +207,13 @@ def descend(graph: DataFrame | None, classes: DataFrame, vectors: DataFrame, k:
     """The neighbour graph (node, near, sim, fresh) after at most ``rounds`` rounds."""
     bar = threshold - SLACK
     if graph is None:
-        graph = cut(merge(None, first_proposals(classes, k, bar), k, bar))
+        coded = code_blocks(classes)
+        graph = cut(merge(None, first_proposals(coded, k, bar), k, bar))
+        drop(coded)
     total = max(1, graph.count())
     for _ in range(rounds):
-        graph = cut(merge(graph, next_proposals(graph, vectors, k, bar), k, bar))
+        before, graph = graph, cut(merge(graph, next_proposals(graph, vectors, k, bar), k, bar))
+        drop(before)
         if graph.where("fresh").count() <= STILL * total:
             break
     return graph
@@ -432,7 +439,8 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, k: int = NEIGHBOUR
             done.append(whole_links(todo, threshold))
             break
         size *= 2
-        graph = cut(graph.join(todo.select("node"), "node", "left_semi").withColumn("fresh", F.lit(True)))
+        before, graph = graph, cut(graph.join(todo.select("node"), "node", "left_semi").withColumn("fresh", F.lit(True)))
+        drop(before)
     links = reduce(DataFrame.unionByName, done)
     groups = components(links.where("near is not null").select(F.col("node").alias("a"), F.col("near").alias("b")))
     counts = links.where("near is null").groupBy("node").agg(F.sum("links").alias("links"))
