@@ -22,13 +22,16 @@ def ahead(spark, d):
     return supply(spark, d).select("symbol", "day", F.col("momentum").alias("factor"), (F.lead("momentum").over(w) / F.col("momentum") - 1).alias("fwd"))
 
 
+# Prices and means with few decimals are divided by pi, so that none is a tie of the rounding.
+
+
 @query(f"""WITH {ALIGNED}, a AS (SELECT *, CASE WHEN dayofyear(day) = 100 THEN 3.0 ELSE 1.0 END::DOUBLE AS factor FROM c)
-    SELECT symbol, day, round(close / coalesce(product(factor) OVER (PARTITION BY symbol ORDER BY day ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 1), 4) + 0.0 AS backward,
-        round(close * product(factor) OVER (PARTITION BY symbol ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 4) + 0.0 AS forward FROM a""")
+    SELECT symbol, day, round(close / coalesce(product(factor) OVER (PARTITION BY symbol ORDER BY day ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 1) / pi(), 4) + 0.0 AS backward,
+        round(close * product(factor) OVER (PARTITION BY symbol ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / pi(), 4) + 0.0 AS forward FROM a""")
 def price_adjustment(spark, d):
     held = closes(spark, d)
     splits = held.where(F.dayofyear("day") == 100).select("symbol", "day", F.lit(3.0).alias("factor"))
-    return research.adjusted(held, splits).select("symbol", "day", r("backward", 4), r("forward", 4))
+    return research.adjusted(held, splits).select("symbol", "day", *(r(F.col(c) / F.pi(), 4).alias(c) for c in ("backward", "forward")))
 
 
 @query(f"""WITH {ALIGNED}, p AS (SELECT *, lag(close) OVER (PARTITION BY symbol ORDER BY day) AS before FROM c)
@@ -71,9 +74,9 @@ def ic_summary(spark, d):
     return research.ic_summary(found).select("n", r("mean"), r("std"), r("icir", 5), r("positive"))
 
 
-@query(f"WITH {SUPPLY} SELECT symbol, day, round((momentum - avg(momentum) OVER (PARTITION BY day, length(symbol))) / 7, 3) + 0.0 AS neutral FROM f")
+@query(f"WITH {SUPPLY} SELECT symbol, day, round((momentum - avg(momentum) OVER (PARTITION BY day, length(symbol))) / pi(), 3) + 0.0 AS neutral FROM f")
 def neutralised_factor(spark, d):
-    return research.neutralised(supply(spark, d).withColumn("size", F.length("symbol")), "momentum", "size").select("symbol", "day", r(F.col("neutral") / 7, 3).alias("neutral"))
+    return research.neutralised(supply(spark, d).withColumn("size", F.length("symbol")), "momentum", "size").select("symbol", "day", r(F.col("neutral") / F.pi(), 3).alias("neutral"))
 
 
 @query(f"""WITH {AHEAD}, b AS (SELECT day, fwd, ntile(5) OVER (PARTITION BY day ORDER BY factor, symbol) AS bucket FROM g WHERE fwd IS NOT NULL)
