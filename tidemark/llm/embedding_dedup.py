@@ -145,9 +145,8 @@ def _run_tasks(rows: DataFrame, most: int, bar: float) -> DataFrame:
     def run(batches):
         return _local(batches, most, bar)
 
-    width = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ready = rows.select("task", "node", "fresh", "worst", "vector")
-    return ready.repartition(width, "task").sortWithinPartitions("task", "node").mapInArrow(run, "node long, near long, sim double")
+    return ready.repartition("task").sortWithinPartitions("task", "node").mapInArrow(run, "node long, near long, sim double")
 
 
 def code_blocks(classes: DataFrame) -> DataFrame:
@@ -298,8 +297,7 @@ def _squared(dealt: DataFrame, key: str) -> DataFrame:
 
 
 def _by_task(rows: DataFrame, order: str, run, schema: str) -> DataFrame:
-    width = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(width, "task").sortWithinPartitions("task", "side", order).mapInArrow(run, schema)
+    return rows.repartition("task").sortWithinPartitions("task", "side", order).mapInArrow(run, schema)
 
 
 def near_clusters(members: DataFrame, threshold: float, k: int) -> DataFrame:

@@ -255,8 +255,8 @@ def pick(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
 
 
 def _by_task(rows: DataFrame, run, schema: str) -> DataFrame:
-    width = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(width, "task").sortWithinPartitions("task", "side", "node").mapInArrow(run, schema)
+    """Without a number of partitions, Spark joins small ones, so that few rows don't become many files."""
+    return rows.repartition("task").sortWithinPartitions("task", "side", "node").mapInArrow(run, schema)
 
 
 def compared(tasks: DataFrame, docs: DataFrame, classes: DataFrame, k: int, share: tuple[int, int]) -> DataFrame:
