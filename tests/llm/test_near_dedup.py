@@ -2,7 +2,9 @@ import random
 import re
 
 import numpy as np
+import pytest
 
+from tidemark.llm import components as components_module
 from tidemark.llm import near_dedup
 from tidemark.llm.components import components
 from tidemark.llm.near_dedup import near_duplicates
@@ -141,7 +143,9 @@ def test_estimate_follows_the_similarity():
     assert (merged == np.maximum(x, y)).all()
 
 
-def test_components(spark):
+@pytest.mark.parametrize("last", [250_000, 40, 0])
+def test_components(spark, monkeypatch, last):
+    monkeypatch.setattr(components_module, "LAST", last)
     rng = random.Random(4)
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 100 + k) for k in range(1, 50)]
     edges += [(rng.randrange(200, 400), rng.randrange(200, 400)) for _ in range(120)] + [(7, 7), (3, 2)]
