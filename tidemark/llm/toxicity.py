@@ -66,7 +66,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, folds: int = 5) -> tuple
     ids = allowed.select("doc_id")
     toxic = hash_sample(ids.join(marks.where("toxic = 1"), "doc_id", "left_semi"), "doc_id", POSITIVES, "p")
     other = hash_sample(ids, "doc_id", UNLABELLED, "u")
-    chosen = cut(toxic.withColumn("positive", F.lit(True)).unionByName(other.withColumn("positive", F.lit(False))))
+    chosen = cut(toxic.withColumn("positive", F.lit(True)).unionByName(other.withColumn("positive", F.lit(False))).distinct())  # ids may repeat
     picked = allowed.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id")  # bounded by the sample's parameters
     read = picked.mapInArrow(_words, "doc_id long, positive boolean, text string, words array<string>, copies long")
     firsts = read.groupBy("positive", "copies").agg(F.min_by(F.struct("text", "words"), F.struct("doc_id", "text")).alias("kept"))
