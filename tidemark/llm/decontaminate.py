@@ -211,7 +211,7 @@ def scanned(docs: DataFrame, benchmark: DataFrame, window: int, automaton_bytes:
         return _windowed(batches, window)
 
     windows = items.mapInArrow(expand, "item_id string, window string, n int, hash long")
-    if (items.agg(F.sum(F.length("text").cast("long") * window)).first()[0] or 0) > automaton_bytes:
+    if (items.agg(F.sum(F.octet_length("text").cast("long") * window)).first()[0] or 0) > automaton_bytes:
         every = cut(windows)
         windows = occurring(docs, every)
         drop(every)
