@@ -20,6 +20,8 @@ SLICE_BYTES = 1 << 20
 BATCH_BYTES = 4 << 20
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Has Python workers give freed memory back at once and share one pool of it among their threads.
+_FREED = {"MIMALLOC_PURGE_DELAY": "0", "MALLOC_ARENA_MAX": "1"}
 #: Bytes of text hashed at once; longer runs are cut at a separator.
 PIECE_BYTES = 1 << 20
 
@@ -31,14 +33,18 @@ _MASK = (1 << 64) - 1
 
 
 def ship(spark: SparkSession) -> None:
-    """Lets Python workers find this package where it isn't installed but lies at the driver's path, and bounds the bytes of
-    an Arrow batch, which Spark otherwise ends by rows alone, where neither the user nor the cluster has set them."""
+    """Lets Python workers find this package where it isn't installed but lies at the driver's path, keeps them from holding on
+    to freed memory, and bounds the bytes of an Arrow batch, which Spark otherwise ends by rows alone, where neither the user nor
+    the cluster has set them."""
     if not spark._jsparkSession.sessionState().conf().contains(_BATCH):
         spark.conf.set(_BATCH, str(BATCH_BYTES))
+    environment = spark.sparkContext.environment
+    for name, value in _FREED.items():
+        environment.setdefault(name, value)
     root = str(Path(__file__).resolve().parents[2])
-    held = spark.sparkContext.environment.get("PYTHONPATH", "")
+    held = environment.get("PYTHONPATH", "")
     if root not in held.split(os.pathsep):
-        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, (root, held)))
+        environment["PYTHONPATH"] = os.pathsep.join(filter(None, (root, held)))
 
 
 def quoted(name: str) -> str:
