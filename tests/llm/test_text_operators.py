@@ -159,6 +159,30 @@ def test_positions_follow_the_schedule(spark):
             mixing.integral(bad)
 
 
+def test_targets_follow_the_integrals(spark):
+    """Two schedules whose integrals are as 1 to 4, none of the sources capped."""
+    assert mixing.source_weights(mixing.CURRICULUM) == [1, 2, 3]
+    curriculum = (((0.0, 0.0), (1.0, 1.0)), ((0.0, 2.0), (0.5, 2.0), (1.0, 2.0)))
+    rows = [(k, "w " * 10, None, "ab"[k % 2], None) for k in range(200)]
+    got = mixing.mix_sources(spark.createDataFrame(rows, DOCS), curriculum=curriculum).groupBy("source").agg(F.sum("taken"), F.first("target"))
+    assert {r[0]: r[1:] for r in got.collect()} == {"a": (400, 400.0), "b": (1600, 1600.0)}
+
+
+def test_documents_are_read_from_the_training_order(spark, monkeypatch):
+    mix = mixing.mix_sources(spark.createDataFrame(mixed_rows(), DOCS)).drop("text")
+    ordered = mixing.training_order(mix, 3)
+    want = [(r.doc_id, r["size"], r.source_size, r.target, r.taken, len(r.copies), *([r.copies[0].position, r.copies[-1].position] if r.copies else [None, None])) for r in mix.collect()]
+    assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in mixing.mixed_documents(ordered).collect())
+    assert mixing.mixed_documents(ordered.where("epoch = 0")).agg(F.max("n_copies")).first()[0] == 1 < max(r[5] for r in want)
+    # The query writes the copies range-sorted and reads them back.
+    written = []
+    monkeypatch.setattr(queries, "cut", lambda df: written.append(df) or df)
+    queries.QUERIES["op5_mix_sources"](spark, SIZE)
+    assert "position" in written[0].columns and "rangepartitioning" in written[0]._jdf.queryExecution().executedPlan().toString()
+    places = [2 if r.position is None else r.position for r in written[0].select("position").collect()]
+    assert places == sorted(places)
+
+
 def test_mix_edges(spark):
     got = {r.doc_id: r for r in mixing.mix_sources(edge_docs(spark)).collect()}
     assert got[0].taken == got[1].taken == got[2].taken == 0 and got[5]["size"] == 60_000

@@ -1,8 +1,8 @@
 """Mixing sources to target weights by a time-varying curriculum.
 
-Each source has a weight schedule over training time 0..1. Its integral, scaled to the source's target, is the source's
-cumulative demand of words; inverting it turns the place of each copy of a document in its source's stream into a training
-position. Copies are then range-sorted by position.
+Each source has a weight schedule over training time 0..1. Its integral is the source's weight, from which its target
+follows; scaled to the target, it is the source's cumulative demand of words, and inverting it turns the place of each copy
+of a document in its source's stream into a training position. Copies are then range-sorted by position.
 """
 
 from __future__ import annotations
@@ -14,20 +14,18 @@ from .common import columns, free
 
 #: A source's target stops at so many times its size.
 MOST_REPEATS = 3
-#: Weights of the sources in order, repeating.
-WEIGHTS = (1, 2, 3)
 #: The production curriculum: (time, weight) knots of the sources in order, repeating; linear between the knots. The first
-#: kind of source is wanted early, the second all along, the third late.
+#: kind of source is wanted early, the second all along, the third late. Their integrals are as 1 to 2 to 3, which is fixed.
 CURRICULUM = (
     ((0.0, 2.0), (0.5, 1.0), (1.0, 0.5)),
-    ((0.0, 1.0), (1.0, 1.0)),
-    ((0.0, 0.5), (0.5, 1.0), (1.0, 2.0)),
+    ((0.0, 2.25), (1.0, 2.25)),
+    ((0.0, 1.5), (0.5, 3.0), (1.0, 6.0)),
 )
 #: Hex digits of the order hash that make up a source's buckets: 16**3 buckets hold its running sums.
 BUCKET_DIGITS = 3
 WORD = "[^\\x20\\x09-\\x0D]+"
 OWN = ("size", "source_size", "target", "taken", "copies")
-COPY = ("epoch", "words", "position")
+COPY = ("epoch", "words", "position", "place")
 
 
 def integral(knots: tuple[tuple[float, float], ...]) -> list[float]:
@@ -41,13 +39,21 @@ def integral(knots: tuple[tuple[float, float], ...]) -> list[float]:
     return areas
 
 
+def source_weights(curriculum) -> list[float]:
+    """The weights of the sources in order, repeating: the integrals of their schedules, relative to the first."""
+    areas = [integral(knots)[-1] for knots in curriculum]
+    return [area / areas[0] for area in areas]
+
+
 def inverse_demand(share: Column, knots: tuple[tuple[float, float], ...]) -> Column:
     """The time by which a source with this schedule has delivered ``share`` of its words.
 
     In the piece where the integral reaches the share, it solves weight * d + slope * d**2 / 2 = rest for the time d since
-    the piece began, in the form that holds without a slope, too.
+    the piece began, in the form that holds without a slope, too. Weights are taken relative to the largest, since the
+    scale of a schedule doesn't matter here.
     """
-    areas = integral(knots)
+    areas, top = integral(knots), max(w for _, w in knots)
+    areas, knots = [a / top for a in areas], [(t, w / top) for t, w in knots]
     area, out = share * F.lit(areas[-1]), None
     for (t0, w0), (t1, w1), done, end in reversed(list(zip(knots, knots[1:], areas, areas[1:], strict=False))):
         rest, slope = F.greatest(area - F.lit(done), F.lit(0.0)), (w1 - w0) / (t1 - t0)
@@ -57,9 +63,9 @@ def inverse_demand(share: Column, knots: tuple[tuple[float, float], ...]) -> Col
     return F.least(F.lit(1.0), out)
 
 
-def source_targets(sizes: DataFrame) -> DataFrame:
-    """Targets by source from (source, source_size): weights share all words; a source stops at MOST_REPEATS times its size
-    and its excess goes to the others by weight, until none is above.
+def source_targets(sizes: DataFrame, curriculum=CURRICULUM) -> DataFrame:
+    """Targets by source from (source, source_size): the integrals of the schedules share all words; a source stops at
+    MOST_REPEATS times its size and its excess goes to the others by weight, until none is above.
 
     That is the level at which least(cap, level * weight) sums to all words: sources are capped in the order of
     cap / weight. One small row per source; rank counts the sources from 0 in order.
@@ -67,7 +73,8 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     order, by_ratio = Window.orderBy(F.col("source").asc_nulls_last()), Window.orderBy("ratio", F.col("source").asc_nulls_last())
     everything = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     ranked = sizes.withColumn("rank", F.row_number().over(order) - 1)
-    weight = F.element_at(F.array(*[F.lit(w).cast("double") for w in WEIGHTS]), (F.col("rank") % len(WEIGHTS)).cast("int") + 1)
+    weights = source_weights(curriculum)
+    weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (F.col("rank") % len(weights)).cast("int") + 1)
     capped = ranked.withColumn("weight", weight).withColumn("cap", F.col("source_size") * MOST_REPEATS)
     ratio = capped.withColumn("ratio", F.col("cap") / F.col("weight"))
     before = by_ratio.rowsBetween(Window.unboundedPreceding, -1)
@@ -87,7 +94,8 @@ def source_targets(sizes: DataFrame) -> DataFrame:
 
 def mix_sources(docs: DataFrame, seed: str = "mix", curriculum=CURRICULUM) -> DataFrame:
     """The mix of (doc_id, source, text): every input row with all its columns, its size, its source's size and target, the
-    words taken, and copies array<struct<epoch, words, position>>: the words and the training position of each copy.
+    words taken, and copies array<struct<epoch, words, position, place>>: the words and the training position of each copy,
+    and its place, which is the number of words before it in its source's stream.
 
     A source's stream holds its documents in the order of a hash of their ids and texts, over and over, until the rounded
     target is delivered; only its very last copy may be cut, so each source delivers its target to the word and no document
@@ -110,7 +118,7 @@ def mix_sources(docs: DataFrame, seed: str = "mix", curriculum=CURRICULUM) -> Da
     ).withColumn(b, F.substring(h, 1, BUCKET_DIGITS))
     sums = rows.groupBy(s, b).agg(F.first("source").alias(source), F.sum(z).alias("held"))
     totals = sums.groupBy(s).agg(F.first(source).alias("source"), F.sum("held").alias("source_size"))
-    targets = source_targets(totals.drop(s)).select(
+    targets = source_targets(totals.drop(s), curriculum).select(
         F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("-")).alias(s),
         F.col("source_size").alias(size),
         F.col("target").alias(target),
@@ -129,7 +137,7 @@ def mix_sources(docs: DataFrame, seed: str = "mix", curriculum=CURRICULUM) -> Da
         for k, knots in enumerate(curriculum[:-1]):
             position = F.when(F.col(rank) % len(curriculum) == k, inverse_demand(share, knots)).otherwise(position)
         words = F.greatest(F.lit(0), F.least(F.col(z), demand - place)).cast("long")
-        return F.struct(epoch.alias("epoch"), words.alias("words"), position.alias("position"))
+        return F.struct(epoch.alias("epoch"), words.alias("words"), position.alias("position"), place.alias("place"))
 
     rounds = F.when(F.col(size) > 0, F.expr(f"cast(round({target}) as bigint) div {size}")).otherwise(F.lit(0)).cast("long")
     copies = F.filter(F.transform(F.sequence(F.lit(0).cast("long"), rounds), lambda epoch: copy(epoch)), lambda c: c["words"] > 0)
@@ -141,21 +149,44 @@ def mix_sources(docs: DataFrame, seed: str = "mix", curriculum=CURRICULUM) -> Da
 
 
 def training_order(mix: DataFrame, partitions: int) -> DataFrame:
-    """One row per copy in the mix of ``mix_sources``, with the copy's epoch, words and position in place of the copies, range-sorted
-    by position; documents of which nothing is taken come last, once, with null epoch and position and no words.
+    """One row per copy in the mix of ``mix_sources``, with the copy's epoch, words, position and place instead of the copies,
+    range-sorted by position; documents of which nothing is taken come last, once, with no words and nulls for the rest.
 
     Ties go by source, doc_id and epoch. Where the mix has a column named as one of these, the new one gets an underscore
     behind its name.
     """
     every = mix.columns
-    held, (epoch, words, position) = every[-1], free(every[:-1], *COPY)
+    held, (epoch, words, position, at) = every[-1], free(every[:-1], *COPY)
     copy, key = free(every, "__copy", "__key")
     placed = mix.select(*columns(every[:-1]), F.explode_outer(held).alias(copy)).select(
         *columns(every[:-1]),
         F.col(copy)["epoch"].alias(epoch),
         F.coalesce(F.col(copy)["words"], F.lit(0).cast("long")).alias(words),
         F.col(copy)["position"].alias(position),
+        F.col(copy)["place"].alias(at),
         F.coalesce(F.col(copy)["position"], F.lit(2.0)).alias(key),
     )
     order = [key, "source", "doc_id", epoch]
     return placed.repartitionByRange(partitions, *order).sortWithinPartitions(*order).drop(key)
+
+
+def mixed_documents(ordered: DataFrame) -> DataFrame:
+    """The documents of a training order of (doc_id, source), one row each, read back from their copies: the words taken, the
+    number of copies, and the positions of the first and the last.
+
+    The place of a document's first copy, unlike its id, is its own in its source's stream; each round puts the next copy
+    source_size words further.
+    """
+    own = ["doc_id", "size", "source_size", "target"]
+    taken = ordered.where("epoch is not null").withColumn("first_place", F.expr("place - epoch * source_size"))
+    read = taken.groupBy(*own, "source", "first_place").agg(
+        F.sum("words").alias("taken"),
+        F.count(F.lit(1)).alias("n_copies"),
+        F.min("position").alias("first_position"),
+        F.max("position").alias("last_position"),
+    )
+    none = F.lit(None).cast("double")
+    left = ordered.where("epoch is null").select(
+        *own, F.col("words").alias("taken"), F.lit(0).cast("long").alias("n_copies"), none.alias("first_position"), none.alias("last_position")
+    )
+    return read.select(*left.columns).unionByName(left)

@@ -5,10 +5,9 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from . import chat_format, decontaminate, embedding_dedup, language_id, line_dedup, mixing, near_dedup, token_counts, toxicity, url_filter
-from .common import table
+from .common import cut, table
 
 #: Paths of the tokenizer files on every executor; by default those of the installed package.
 BYTE_BPE, PIECE_BPE = os.environ.get("BYTE_BPE_JSON", ""), os.environ.get("PIECE_BPE_MODEL", "")
@@ -37,17 +36,9 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mix = mixing.mix_sources(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
-    return mix.select(
-        "doc_id",
-        "size",
-        "source_size",
-        "target",
-        "taken",
-        F.size("copies").cast("long").alias("n_copies"),
-        F.get("copies", F.lit(0))["position"].alias("first_position"),
-        F.get("copies", F.size("copies") - 1)["position"].alias("last_position"),
-    )
+    mix = mixing.mix_sources(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).drop("text")
+    ordered = cut(mixing.training_order(mix, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    return mixing.mixed_documents(ordered)
 
 
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
